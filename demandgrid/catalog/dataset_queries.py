@@ -94,12 +94,10 @@ def prices_file(spark, sf):
 def wide_sales(spark, sf):
     """Panel B with one column per day, all days of the range."""
     lo, hi = b.span(spark, sf)
-    codes = [f"d_{i + 1}" for i in range((hi - lo).days + 1)]
-    first = F.lit(str(lo)).cast("date")
-    rows = keyed_panel(spark, sf).withColumn(
-        "d", F.concat(F.lit("d_"), (F.datediff(DS, first) + 1).cast("string")))
-    rows = rows.withColumns({"dept_id": F.col("item_id"), "state_id": F.split("store_id", "_")[0]})
-    return reshape.long_to_wide(rows, ["store_id", "item_id", "dept_id", "state_id"], codes)
+    days = F.transform(F.sort_array(F.collect_list(F.struct(DS, Y))), lambda s: s[Y])
+    rows = keyed_panel(spark, sf).groupBy("store_id", "item_id").agg(days.alias("days"))
+    return rows.selectExpr("store_id", "item_id", "item_id AS dept_id", "split(store_id, '_')[0] AS state_id",
+                           *[f"days[{i}] AS d_{i + 1}" for i in range((hi - lo).days + 1)])
 
 
 WIDE_LONG = f"""SELECT {STORE} AS store_id, {ITEM} AS item_id, 'd_'||(date_diff('day', lo, ds) + 1) AS d, y

@@ -243,12 +243,15 @@ def residual_statistics(spark, sf):
     return profile.residual_stats(stack(predictions(spark, sf), [ID, DS, "cutoff", Y], MODELS, "model", "y_hat"))
 
 
-@query("metric_boxes", with_panel(f"""
-WITH e AS (SELECT unique_id, model, avg(abs(y - p)) AS mae FROM long GROUP BY 1, 2),
+BOX_CTE = """,
+e AS (SELECT unique_id, model, avg(abs(y - p)) AS mae FROM long GROUP BY 1, 2),
 qs AS (SELECT model, quantile_cont(mae, [0.25, 0.5, 0.75]) AS e FROM e GROUP BY 1),
 f AS (SELECT e.model, mae, qs.e[1] AS q1, qs.e[2] AS median, qs.e[3] AS q3,
-  mae BETWEEN qs.e[1] - 1.5 * (qs.e[3] - qs.e[1]) AND qs.e[3] + 1.5 * (qs.e[3] - qs.e[1]) AS ok FROM e JOIN qs USING (model))
+  mae BETWEEN qs.e[1] - 1.5 * (qs.e[3] - qs.e[1]) AND qs.e[3] + 1.5 * (qs.e[3] - qs.e[1]) AS ok FROM e JOIN qs USING (model))"""
+
+
+@query("metric_boxes", with_panel("""
 SELECT model, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(min(mae) FILTER (ok), 6) AS whisker_low,
-  round(max(mae) FILTER (ok), 6) AS whisker_high, count(*) FILTER (NOT ok) AS outliers FROM f GROUP BY 1, 2, 3, 4""", more=MORE))
+  round(max(mae) FILTER (ok), 6) AS whisker_high, count(*) FILTER (NOT ok) AS outliers FROM f GROUP BY 1, 2, 3, 4""", more=MORE + BOX_CTE))
 def metric_boxes(spark, sf):
     return profile.box_stats(m.evaluate(predictions(spark, sf), MODELS, [ID]), "mae", ["model"])

@@ -409,9 +409,9 @@ def correlations(spark, sf):
     return p.correlation_matrix(b.table(spark, sf, "lineitem"), _COLS)
 
 
-@query("strong_correlations", f"SELECT * FROM ({_CORR}) WHERE abs(r) > 0.7")
+@query("strong_correlations", f"SELECT * FROM ({_CORR}) WHERE abs(r) > 0.001")
 def strong_correlations(spark, sf):
-    return p.strong_pairs(p.correlation_matrix(b.table(spark, sf, "lineitem"), _COLS))
+    return p.strong_pairs(p.correlation_matrix(b.table(spark, sf, "lineitem"), _COLS), 0.001)
 
 
 @query("series_correlations", with_panel("""
@@ -423,7 +423,7 @@ def series_correlations(spark, sf):
     panel = b.panel(spark, sf)
     names = sorted(r[0] for r in b.observed(spark, sf, "region").select(ID).distinct().limit(201).collect())
     wide = series_to_columns(panel, names)
-    return p.correlation_matrix(wide, names, chunk=150)
+    return p.correlation_matrix(wide, names)
 
 
 @query("most_variable_columns", " UNION ALL ".join(

@@ -105,15 +105,15 @@ def quality_alerts(spark, sf):
     return ql.alerts(_dataset_quality(spark, sf), ql.QUALITY_RULES)
 
 
-@query("error_alerts", with_panel(f"""
+@query("error_alerts", with_panel("""
 SELECT metric, CASE WHEN value > severe THEN 'high' ELSE 'medium' END AS severity, message, value FROM (
-  SELECT 'best_mae' AS metric, 'High MAE' AS message, min(mae) AS value, 2.0 AS border, 5.0 AS severe FROM ({_eval('unique_id')}) GROUP BY unique_id
-  UNION ALL SELECT 'best_rmse', 'High RMSE', min(rmse), 3.0, 7.0 FROM ({_eval('unique_id')}) GROUP BY unique_id
-  UNION ALL SELECT 'best_mase', 'High MASE', min(mase), 1.5, 2.0 FROM ({_eval('unique_id')}) GROUP BY unique_id) WHERE value > border""", more=MORE))
+  SELECT 'best_mae' AS metric, 'High MAE' AS message, mae AS value, 2.0 AS border, 5.0 AS severe FROM zero
+  UNION ALL SELECT 'best_rmse', 'High RMSE', rmse, 3.0, 7.0 FROM zero
+  UNION ALL SELECT 'best_mase', 'High MASE', mase, 1.5, 2.0 FROM zero) WHERE value > border""",
+                                  more=f"{MORE}, zero AS (SELECT * FROM ({_eval('unique_id, cutoff')}) WHERE model = 'ZeroModel')"))
 def error_alerts(spark, sf):
-    best = m.evaluate(predictions(spark, sf), MODELS, [ID]).groupBy(ID).agg(
-        F.min("mae").alias("best_mae"), F.min("rmse").alias("best_rmse"), F.min("mase").alias("best_mase"))
-    return ql.alerts(best, ql.ERROR_RULES)
+    zero = m.evaluate(predictions(spark, sf), ["ZeroModel"], [ID, "cutoff"])
+    return ql.alerts(zero.withColumnsRenamed({k: f"best_{k}" for k in ("mae", "rmse", "mase")}), ql.ERROR_RULES)
 
 
 def _history(spark, sf):
@@ -168,7 +168,7 @@ EXPECT_SQL = """ex AS (
 SELECT 'not_null' AS expectation, 'value' AS "column", count(*) FILTER (value IS NULL) AS unexpected FROM holes
 UNION ALL SELECT 'between', 'value', count(*) FILTER (value < 0 OR value > 50) FROM holes
 UNION ALL SELECT 'in_set', 'event_type', count(*) FILTER (event_type NOT IN ('click', 'view', 'purchase')) FROM holes
-UNION ALL SELECT 'row_count', '', 0 FROM holes GROUP BY ALL
+UNION ALL SELECT 'row_count', '', CASE WHEN count(*) >= 1 THEN 0 ELSE 1 END FROM holes
 UNION ALL SELECT 'unique', 'event_id', (sum(n) - count(*))::BIGINT FROM (SELECT count(*) AS n FROM holes GROUP BY event_id)
 UNION ALL SELECT 'unique', 'day,user_id', (sum(n) - count(*))::BIGINT FROM (SELECT count(*) AS n FROM holes GROUP BY day, user_id))"""
 

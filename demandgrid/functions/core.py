@@ -52,6 +52,17 @@ def percent(cond: Column) -> Column:
     return F.avg(F.when(cond, F.lit(100.0)).otherwise(F.lit(0.0)))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows with both values; NULL when one side is constant.
+
+    (The built-in ``corr`` raises a division error for constant input in ANSI mode.)
+    """
+    x, y = x.cast("double"), y.cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def period_end(freq: str, col: str | Column = DS) -> Column:
     """Closing date of the day (D), Sunday-ending week (W) or calendar month (M)."""
     c = F.col(col) if isinstance(col, str) else col

@@ -27,15 +27,18 @@ def series_quantile(value: Column, p: float | Sequence[float]) -> Column:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    buckets: int = 512) -> DataFrame:
-    """One row per group: ``by`` columns, ``n`` (non-null values) and ``q`` (array, one per prob)."""
+                    buckets: int = 512, weight: str | None = None) -> DataFrame:
+    """One row per group: ``by`` columns, ``n`` (non-null values) and ``q`` (array, one per prob).
+
+    ``weight`` names a column of row counts when the input is already collapsed.
+    """
     by = list(by)
     one = "__all"
     keys = by or [one]
     src = df if by else df.withColumn(one, F.lit(0))
     counts = (src.where(F.col(value).isNotNull())
               .groupBy(*keys, F.col(value).cast("double").alias("__v"))
-              .agg(F.count(F.lit(1)).alias("__n")))
+              .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n")))
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = counts.groupBy(*keys).agg(
         F.percentile_approx("__v", steps, F.lit(8 * buckets)).alias("__edges"))

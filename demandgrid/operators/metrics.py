@@ -150,7 +150,7 @@ def in_sample_scaled(pred: DataFrame, fitted: DataFrame, models: Sequence[str],
     daily = (fitted.where(q(seasonal).isNotNull() & F.col(Y).isNotNull()).groupBy(DS)
              .agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(err)).alias("ae"), F.sum(err * err).alias("se")))
     cutoffs = pred.agg(F.collect_set("cutoff").alias("c")).scalar()
-    scale = (daily.withColumn("__cut", F.explode(F.filter(cutoffs, lambda c: c >= F.col(DS))))
+    scale = (daily.withColumn("__cut", F.explode(cutoffs)).where(F.col(DS) <= F.col("__cut"))
              .groupBy("__cut").agg((F.sum("ae") / F.sum("n")).alias("scale_mae"),
                                    F.sqrt(F.sum("se") / F.sum("n")).alias("scale_rmse")))
     by = list(by)

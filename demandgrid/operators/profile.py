@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandgrid.functions.core import (
-    DS, ID, Y, avg_if, count_if, day, is_number, numeric_columns, percent, period_end, q, ratio,
+    DS, ID, Y, avg_if, correlation, count_if, day, is_number, numeric_columns, percent, period_end, q, ratio,
     series_window, stack, text_columns,
 )
+from demandgrid.functions.moments import pair_correlations
 from demandgrid.functions.quantiles import exact_quantiles, series_quantile
 
 # Class borders of the ADI / CV-squared scheme.
@@ -24,18 +25,21 @@ PRICE_LABELS = ("Very Low", "Low", "Medium", "High", "Very High")
 
 def filter_mean_band(panel: DataFrame, lb: float = 0.15, ub: float = 0.5, key: str = ID,
                      y: str = Y) -> DataFrame:
-    """Series whose mean over all days lies in [lb, ub]."""
-    keep = panel.groupBy(key).agg(F.avg(y).alias("m")).where(F.col("m").between(lb, ub)).select(key)
-    return panel.join(keep, key, "left_semi")
+    """Series whose mean over all days lies in [lb, ub].
+
+    A window over the series instead of a join back to its own aggregate: the input is read once
+    and the exchange serves later windows.
+    """
+    mean = F.avg(y).over(Window.partitionBy(key))
+    return panel.withColumn("__m", mean).where(F.col("__m").between(lb, ub)).drop("__m")
 
 
 def filter_quantile_positive(panel: DataFrame, start: date | str | Column, end: date | str | Column,
                              p: float = 0.85, key: str = ID, y: str = Y) -> DataFrame:
     """Series whose exact p-quantile over [start, end] is above zero."""
-    keep = (panel.where(F.col(DS).between(day(start), day(end)))
-            .groupBy(key).agg(series_quantile(F.col(y), p).alias("qv"))
-            .where(F.col("qv") > 0).select(key))
-    return panel.join(keep, key, "left_semi")
+    recent = F.when(F.col(DS).between(day(start), day(end)), F.col(y))
+    return (panel.withColumn("__q", series_quantile(recent, p).over(Window.partitionBy(key)))
+            .where(F.col("__q") > 0).drop("__q"))
 
 
 def tail_stats(panel: DataFrame, last_day: date | Column, n_days: int, key: str = ID,
@@ -285,14 +289,21 @@ def daily_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------- prices
 
 def price_stats(df: DataFrame, price: str = "sell_price") -> DataFrame:
-    on, off = q(price) > 0, q(price) == 0
-    available = df.where(on)
-    vec = exact_quantiles(available, price, [0.5]).select("q").scalar()
-    return df.agg(
-        count_if(on).alias("available"), count_if(off).alias("unavailable"),
-        percent(on).alias("available_pct"), percent(off).alias("unavailable_pct"),
-        avg_if(on, q(price)).alias("mean_price"), F.min(F.when(on, q(price))).alias("min_price"),
-        F.max(F.when(on, q(price))).alias("max_price"),
+    """On-sale and off-sale rows with shares; mean, median, min and max of prices on sale.
+
+    Rows collapse to distinct prices once; every figure is read off that table.
+    """
+    p, n = F.col("__p"), F.col("n")
+    counts = df.groupBy(q(price).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("n"))
+    on, off = p > 0, p == 0
+    n_on = F.coalesce(F.sum(F.when(on, n)), F.lit(0))
+    n_off = F.coalesce(F.sum(F.when(off, n)), F.lit(0))
+    vec = exact_quantiles(counts.where(on), "__p", [0.5], weight="n").select("q").scalar()
+    return counts.agg(
+        n_on.alias("available"), n_off.alias("unavailable"),
+        ratio(n_on * 100, F.sum(n)).alias("available_pct"), ratio(n_off * 100, F.sum(n)).alias("unavailable_pct"),
+        ratio(F.sum(F.when(on, p * n)), n_on).alias("mean_price"), F.min(F.when(on, p)).alias("min_price"),
+        F.max(F.when(on, p)).alias("max_price"),
     ).select("*", vec[0].alias("median_price"))
 
 
@@ -304,7 +315,7 @@ def price_correlation(df: DataFrame, y: str = Y, available_only: bool = False) -
     long = stack(df, [y], cols, "price_column", "price", "double")
     if available_only:
         long = long.where(F.col("price") > 0)
-    return long.groupBy("price_column").agg(F.corr("price", F.col(y).cast("double")).alias("correlation"))
+    return long.groupBy("price_column").agg(correlation(F.col("price"), F.col(y)).alias("correlation"))
 
 
 def price_bins(df: DataFrame, price: str = "sell_price", y: str = Y) -> DataFrame:
@@ -312,10 +323,10 @@ def price_bins(df: DataFrame, price: str = "sell_price", y: str = Y) -> DataFram
 
     Empty when fewer than five distinct prices exist.
     """
-    on_sale = df.where(q(price) > 0)
-    # demand collapses by price first: the bins then work on distinct prices only
-    by_price = on_sale.groupBy(q(price).alias("__p")).agg(F.sum(y).alias("s"), F.count(y).alias("n"))
-    edges = exact_quantiles(on_sale, price, [0.2, 0.4, 0.6, 0.8]).select("q").scalar()
+    # demand collapses by price first: edges and bins then work on distinct prices only
+    by_price = (df.where(q(price) > 0).groupBy(q(price).cast("double").alias("__p"))
+                .agg(F.sum(y).alias("s"), F.count(y).alias("n"), F.count(F.lit(1)).alias("rows")))
+    edges = exact_quantiles(by_price, "__p", [0.2, 0.4, 0.6, 0.8], weight="rows").select("q").scalar()
     distinct = by_price.agg(F.count(F.lit(1)).alias("k")).scalar()
     label = F.lit(PRICE_LABELS[4])
     for i in (3, 2, 1, 0):
@@ -365,7 +376,7 @@ def forecast_fit(periods: DataFrame) -> DataFrame:
     """MAE, RMSE, correlation and bias % of :func:`aggregate_forecast` rows."""
     return periods.agg(
         F.avg("abs_error").alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"),
-        F.corr("actual", "predicted").alias("correlation"),
+        correlation(F.col("actual"), F.col("predicted")).alias("correlation"),
         ratio((F.sum("predicted") - F.sum("actual")) * 100, F.sum("actual")).alias("bias_pct"))
 
 
@@ -374,7 +385,7 @@ def residual_stats(long: DataFrame, y: str = Y, y_hat: str = "y_hat") -> DataFra
     r = F.col(y).cast("double") - F.col(y_hat)
     return (long.withColumn("__r", r).groupBy(ID, "model")
             .agg(F.avg(F.abs("__r")).alias("mae"), F.sqrt(F.avg(F.col("__r") * F.col("__r"))).alias("rmse"),
-                 F.corr(F.col(y).cast("double"), F.col(y_hat)).alias("correlation"),
+                 correlation(F.col(y), F.col(y_hat)).alias("correlation"),
                  F.avg("__r").alias("mean_residual"), F.stddev_samp("__r").alias("std_residual"),
                  percent(F.col("__r") > 0).alias("positive_pct"), F.max(F.abs("__r")).alias("max_abs_residual"),
                  F.count("__r").alias("n")))
@@ -456,26 +467,20 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
                  F.coalesce(F.sum(F.when(~inside, F.col("__n"))), F.lit(0)).alias("outliers")))
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str], chunk: int = 60) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: Sequence[str], few: int = 6) -> DataFrame:
     """Pearson correlation of every column pair, long form (a, b, r) with a before b.
 
-    All pairs are aggregates of the same scan; past ``chunk`` pairs they go in several
-    aggregates so that generated code stays within the compiler's limit.
+    A few columns are plain aggregates of one scan; more would pass the limits of generated
+    code, so their sums of products are gathered as matrices, still in one scan.
     """
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    parts = []
-    for at in range(0, len(pairs), chunk):
-        some = pairs[at:at + chunk]
-        row = df.agg(*[F.corr(q(a).cast("double"), q(b).cast("double")).alias(f"r{i}")
-                       for i, (a, b) in enumerate(some)])
-        cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-                          for i, (a, b) in enumerate(some)])
-        parts.append(row.select(F.explode(cells).alias("c")).select("c.a", "c.b", "c.r"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if len(cols) > few:
+        return pair_correlations(df, cols)
+    row = df.agg(*[correlation(q(a), q(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
+                      for i, (a, b) in enumerate(pairs)])
+    return row.select(F.explode(cells).alias("c")).select("c.a", "c.b", "c.r")
 
 
 def strong_pairs(corr: DataFrame, border: float = 0.7) -> DataFrame:

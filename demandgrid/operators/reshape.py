@@ -46,22 +46,46 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], prefix: str = "d_", code: st
                  y: str = Y) -> DataFrame:
     """Day columns to rows; other text columns are dropped.
 
-    One generated array per row instead of one projection per day column, so a table of 2,000
-    day columns needs a single pass and a short plan.
+    One array per row instead of one projection per day column, so a table of 2,000 day columns
+    needs a single pass and a short plan.
     """
-    require(df, ids, "wide table")
-    days = day_columns(df, prefix)
-    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    keep = [c for c in df.columns if c in ids or (c not in days and c not in text)]
-    names = F.array(*[F.lit(c) for c in days])
-    wide = df.select(*[q(c) for c in keep], F.posexplode(F.array(*[q(c) for c in days])).alias("__i", y))
-    return wide.select(*[q(c) for c in keep], F.element_at(names, F.col("__i") + 1).alias(code), y)
+    return explode_days(*day_arrays(df, ids, prefix), code, y)
 
 
-def long_to_wide(df: DataFrame, ids: Sequence[str], codes: Sequence[str], code: str = "d",
-                 y: str = Y) -> DataFrame:
-    """Inverse of :func:`wide_to_long`; the day list is explicit so no extra job fixes the schema."""
-    return df.groupBy(*ids).pivot(code, list(codes)).agg(F.sum(y))
+def day_arrays(df: DataFrame, ids: Sequence[str], prefix: str = "d_") -> tuple[DataFrame, list[str]]:
+    """One row per series with its day columns as the array ``days``, and the day codes in order."""
+    require(df, ids, "wide table")
+    codes = day_columns(df, prefix)
+    days, text = set(codes), {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    keep = [c for c in df.columns if c in ids or (c not in days and c not in text)]
+    # one parsed expression: thousands of separate column objects would cost seconds to build
+    listed = F.expr("array(" + ",".join(f"`{c}`" for c in codes) + ")")
+    return df.select(*[q(c) for c in keep], listed.alias("days")), codes
+
+
+def explode_days(arrays: DataFrame, codes: Sequence[str], code: str = "d", y: str = Y) -> DataFrame:
+    rest = [q(c) for c in arrays.columns if c != "days"]
+    names = F.split(F.lit(",".join(codes)), ",")
+    rows = arrays.select(*rest, F.posexplode("days").alias("__i", y))
+    return rows.select(*rest, F.element_at(names, F.col("__i") + 1).alias(code), y)
+
+
+def where_mean_between(arrays: DataFrame, lb: float, ub: float) -> DataFrame:
+    """Series (day arrays) whose mean lies in [lb, ub]: a row filter, no shuffle."""
+    known = F.filter("days", lambda v: v.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return arrays.where(F.try_divide(total, F.size(known)).between(lb, ub))
+
+
+def where_quantile_positive(arrays: DataFrame, codes: Sequence[str], first: str, last: str, p: float) -> DataFrame:
+    """Series whose interpolated p-quantile between two day codes is above zero: a row filter."""
+    at, to = codes.index(first), codes.index(last)
+    part = F.sort_array(F.filter(F.slice("days", at + 1, to - at + 1), lambda v: v.isNotNull()))
+    pos = F.lit(p) * (F.size(part) - 1)
+    lo = F.get(part, F.floor(pos).cast("int")).cast("double")
+    up = F.get(part, F.ceil(pos).cast("int")).cast("double")
+    frac = pos - F.floor(pos)
+    return arrays.where(lo * (1 - frac) + up * frac > 0)
 
 
 def make_id(df: DataFrame, cols: Sequence[str], sep: str = "__", drop: bool = False,

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from demandgrid.functions.core import DS, Y, day
 from demandgrid.operators import calendars as cal_ops
 from demandgrid.operators import intervals, joins, reshape
-from demandgrid.operators.profile import filter_mean_band, filter_quantile_positive
 
 SERIES_KEYS = ("store_id", "item_id")
 
@@ -32,16 +31,22 @@ def prepare_sales(sales: DataFrame, calendar: DataFrame, dept: str | None, store
                   keys: Sequence[str] = SERIES_KEYS) -> DataFrame:
     """Filtered long sales with interval columns; ``date`` and ``sales`` columns.
 
+    Both series filters look at one wide row each, so they run before anything is shuffled or
+    exploded, and the exchange on the series key moves compact arrays instead of day rows.
     Intervals run over the whole history before the date cut, so counts carry in.
     """
     if dept is not None:
         sales = sales.where(F.col("dept_id") == dept)
     if store is not None:
         sales = sales.where(F.col("store_id") == store)
-    long = reshape.make_id(cal_ops.code_to_date(
-        reshape.wide_to_long(sales, keys, y=Y), calendar).withColumnRenamed("date", DS), keys)
-    long = filter_mean_band(long, *mean_band)
-    long = filter_quantile_positive(long, test_from, end, quantile)
+    arrays, codes = reshape.day_arrays(sales, keys)
+    arrays = reshape.where_mean_between(arrays, *mean_band)
+    bounds = {r["date"]: r["d"] for r in calendar.where(
+        F.col("date").isin(str(test_from), str(end))).select(F.col("date").cast("string"), "d").collect()}
+    arrays = reshape.where_quantile_positive(arrays, codes, bounds[str(test_from)], bounds[str(end)], quantile)
+    parts = int(sales.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arrays = reshape.make_id(arrays, keys).repartition(parts, "unique_id")
+    long = cal_ops.code_to_date(reshape.explode_days(arrays, codes), calendar).withColumnRenamed("date", DS)
     long = intervals.periods_since_last_zero(intervals.periods_since_last_sale(long))
     return long.where(F.col(DS).between(cal_ops.lag_padded_start(start, max_lag), day(end)))
 

@@ -1 +1,111 @@
-"""Model queries."""
+"""Model queries.  One-lag models have a closed-form SQL twin; the others are checked by tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from demandgrid.catalog import base as b
+from demandgrid.catalog.base import query, with_panel
+from demandgrid.functions.core import DS, ID, Y
+from demandgrid.operators import boosting, search
+from demandgrid.operators import regression as r
+from demandgrid.operators.backtest import Windows
+from demandgrid.plans.training import train_and_evaluate
+
+WINDOWS = Windows(28, 3)
+ONE_LAG = r.LagSpec(lags=(1,), rolling=(), weekday=False, month=False)
+FULL = r.LagSpec(lags=(1, 7, 14), rolling=(7, 28), counters=True, exog=("snap",))
+
+
+def with_snap(spark, sf):
+    """Region panel with the state's benefit flag as a column known ahead."""
+    from demandgrid.operators.calendars import benefit_flags_long
+    flags = benefit_flags_long(b.calendar(spark, sf)).withColumnRenamed("date", DS)
+    panel = b.panel(spark, sf).withColumn("state_id", F.split(ID, "_")[0])
+    return panel.join(flags, ["state_id", DS]).select(ID, DS, Y, "snap")
+
+
+@query("lag_training_frame", with_panel("""
+SELECT unique_id, ds, y::DOUBLE AS y, l1::DOUBLE AS lag1, l7::DOUBLE AS lag7, round(m, 6) AS rolling_mean_lag1_window_size7,
+  round(s, 6) AS rolling_std_lag1_window_size7, least(floor((n - 28 - p) / 28.0), 2)::INTEGER AS segment FROM (
+  SELECT unique_id, ds, y, lag(y, 1) OVER w AS l1, lag(y, 7) OVER w AS l7, avg(y) OVER f AS m, stddev_samp(y) OVER f AS s,
+    row_number() OVER w AS p, count(*) OVER (PARTITION BY unique_id) AS n FROM panel
+  WINDOW w AS (PARTITION BY unique_id ORDER BY ds), f AS (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+WHERE l7 IS NOT NULL AND p <= n - 28"""))
+def lag_training_frame(spark, sf):
+    spec = r.LagSpec(lags=(1, 7), rolling=(7,), weekday=False, month=False)
+    return r.lag_frame(b.panel(spark, sf), spec, WINDOWS)
+
+
+def _ar1(group: str, alpha: float, name: str) -> str:
+    """Slope and intercept by window from sums, then the closed form of the recursion."""
+    on = f"AND f.{group} = k.{group}" if group else ""
+    g = f"k.{group}, " if group else ""
+    return f"""
+SELECT t.unique_id, t.ds, k.cutoff, t.y::DOUBLE AS y, round(pow(fit.b, t.p - k.c) * k.last_y + fit.a * (1 - pow(fit.b, t.p - k.c)) / (1 - fit.b), 6) AS "{name}"
+FROM pos t JOIN cuts k ON t.unique_id = k.unique_id AND t.p BETWEEN k.c + 1 AND k.c + 28
+JOIN (SELECT {f'{group}, ' if group else ''}i, b, my - b * mx AS a FROM (
+  SELECT {g}k.i, (count(*) * covar_pop(f.y, f.x)) / (count(*) * var_pop(f.x) + {alpha}) AS b, avg(f.y) AS my, avg(f.x) AS mx
+  FROM cuts k JOIN (SELECT *, lag(y) OVER (PARTITION BY unique_id ORDER BY ds) AS x FROM pos) f
+    ON f.unique_id = k.unique_id AND f.p <= k.c AND f.x IS NOT NULL {on} GROUP BY {g}k.i)) fit
+ON fit.i = k.i {f'AND fit.{group} = k.{group}' if group else ''}"""
+
+
+POS_CTE = """
+pos AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS p, count(*) OVER (PARTITION BY unique_id) AS n FROM panel),
+cuts AS (SELECT unique_id, i, n - 28 - i * 28 AS c, ds AS cutoff, y AS last_y FROM pos, (SELECT unnest(range(0, 3)) AS i) WHERE p = n - 28 - i * 28)"""
+
+
+@query("global_linear_one_lag", with_panel(_ar1("", 0.0, "Linear"), more=POS_CTE))
+def global_linear_one_lag(spark, sf):
+    return r.ridge_backtest(b.panel(spark, sf), ONE_LAG, WINDOWS, 0.0, "Linear")[0]
+
+
+@query("global_ridge_one_lag", with_panel(_ar1("", 5000.0, "Ridge"), more=POS_CTE))
+def global_ridge_one_lag(spark, sf):
+    return r.ridge_backtest(b.panel(spark, sf), ONE_LAG, WINDOWS, 5000.0)[0]
+
+
+@query("local_linear_one_lag", with_panel(_ar1("unique_id", 0.0, "Local"), more=POS_CTE))
+def local_linear_one_lag(spark, sf):
+    return r.local_backtest(b.panel(spark, sf), ONE_LAG, WINDOWS)
+
+
+@query("ridge_backtest")
+def ridge_backtest(spark, sf):
+    return r.ridge_backtest(with_snap(spark, sf), FULL, WINDOWS, 1.0)[0]
+
+
+@query("local_poisson_backtest")
+def local_poisson_backtest(spark, sf):
+    return r.local_backtest(b.panel(spark, sf), r.LagSpec(lags=(1, 7), rolling=(7,), month=False), Windows(28, 1), "poisson", 1.0)
+
+
+@query("global_poisson_backtest")
+def global_poisson_backtest(spark, sf):
+    return r.poisson_backtest(b.panel(spark, sf), r.LagSpec(lags=(1, 7), rolling=(7,), month=False), Windows(28, 1))[0]
+
+
+@query("tweedie_trees_backtest")
+def tweedie_trees_backtest(spark, sf):
+    spec = r.LagSpec(lags=(1, 7), rolling=(7, 28))
+    return boosting.tweedie_backtest(b.panel(spark, sf), spec, Windows(28, 1), n_rounds=6, rate=0.3, depth=3)[0]
+
+
+@query("ridge_importance_by_fold")
+def ridge_importance_by_fold(spark, sf):
+    panel = with_snap(spark, sf)
+    prod = r.products(r.lag_frame(panel, FULL, WINDOWS), FULL)
+    fitted = r.fit_ridge_windows(prod, WINDOWS, 1.0)
+    return r.importance_summary(r.ridge_importance(panel, FULL, fitted, r.fold_names(panel, WINDOWS)))
+
+
+@query("ridge_random_search")
+def ridge_random_search(spark, sf):
+    return search.random_search(b.panel(spark, sf), Windows(28, 2), "Ridge", n_trials=8).drop("params")
+
+
+@query("train_and_evaluate")
+def train_and_evaluate_query(spark, sf):
+    """Search, refit, baselines and all metrics of the pooled ridge model."""
+    return train_and_evaluate(b.panel(spark, sf), Windows(28, 2), ["Ridge"], n_trials=4).metrics

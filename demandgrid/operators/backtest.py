@@ -44,16 +44,35 @@ class Windows:
                 last = F.least(last, F.lit(self.n_windows - 1))
         return F.greatest(lo, F.lit(0)).cast("int"), F.least(hi, last).cast("int")
 
+    def segment(self, pos: Column, n: Column) -> Column:
+        """Training segment of a row, such that window i trains on the segments :meth:`trains_on` it.
+
+        NULL for rows no window trains on.
+        """
+        if self.n_windows is None:
+            raise ValueError("training windows need a number")
+        last = F.lit(self.n_windows - 1)
+        if self.initial is None:
+            m = F.least(F.floor((n - self.h - pos) / F.lit(self.stride)), last)
+            return F.when(m >= 0, m).cast("int")
+        m = F.greatest(F.ceil((pos - self.initial) / F.lit(self.stride)), F.lit(0))
+        return F.when(m <= last, m).cast("int")
+
+    def trains_on(self, window: int, segment: int) -> bool:
+        return segment >= window if self.initial is None else segment <= window
+
     def cut(self, n: Column, i: Column) -> Column:
         """Number of training rows of window i."""
         return n - self.h - i * self.stride if self.initial is None else i * self.stride + self.initial
 
 
-def windowed(panel: DataFrame, windows: Windows, tail: int, extra: Sequence[str] = (), y: str = Y) -> DataFrame:
+def windowed(panel: DataFrame, windows: Windows, tail: int, extra: Sequence[str] = (), last: Sequence[str] = (),
+             y: str = Y) -> DataFrame:
     """One row per (series, window): cutoff, the last ``tail`` training values, the test rows.
 
     Both arrays are bounded by ``tail`` and ``h``.  Windows without a full test part or any
-    training row are left out.
+    training row are left out.  ``extra`` columns ride along in the test rows, ``last`` columns keep
+    their value at the cutoff.
     """
     w = series_window()
     pos, n = F.col("__pos"), F.col("__n")
@@ -69,18 +88,14 @@ def windowed(panel: DataFrame, windows: Windows, tail: int, extra: Sequence[str]
     past = F.struct(pos.alias("pos"), q(y).cast("double").alias(Y))
     return (rows.groupBy(ID, "window")
             .agg(F.max(F.when(~is_test, F.col(DS))).alias("cutoff"), F.first("__cut").alias("n_train"),
+                 *[F.max_by(F.when(~is_test, q(c)), F.when(~is_test, pos)).alias(f"last_{i}")
+                   for i, c in enumerate(last)],
                  F.sort_array(F.collect_list(F.when(~is_test, past))).alias("__past"),
                  F.sort_array(F.collect_list(F.when(is_test, cell))).alias("test"))
             .where((F.size("test") == windows.h) & F.col("cutoff").isNotNull())
             .withColumn("tail", F.transform("__past", lambda s: s[Y])).drop("__past"))
 
 
-def test_rows(win: DataFrame, *cols: Column, names: Sequence[str] = ()) -> DataFrame:
-    """Explode the test part: id, ds, cutoff, y and step 0..h-1 beside the given columns."""
-    return (win.select(ID, "window", "cutoff", *cols, F.posexplode("test").alias("step", "t"))
-            .select(ID, F.col(f"t.{DS}").alias(DS), "cutoff", F.col(f"t.{Y}").alias(Y), "step", *names))
-
-
 def _season_value(season: int) -> Column:
     """Value one season back, from the last (up to) ``season`` training values."""
     at = F.size("tail") - season + F.col("step") % season

@@ -91,8 +91,18 @@ def prices_file(spark, sf):
     return files.read_prices(spark, path)
 
 
+_WIDE: dict[tuple[str, str], str] = {}
+
+
 def wide_sales(spark, sf):
-    """Panel B with one column per day, all days of the range."""
+    """Panel B as a file with one column per day, all days of the range; written once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WIDE:
+        _WIDE[key] = files.write_panel(_wide_rows(spark, sf), scratch(spark), "sales", *b.span(spark, sf))
+    return files.read_sales_wide(spark, _WIDE[key])
+
+
+def _wide_rows(spark, sf):
     lo, hi = b.span(spark, sf)
     days = F.transform(F.sort_array(F.collect_list(F.struct(DS, Y))), lambda s: s[Y])
     rows = keyed_panel(spark, sf).groupBy("store_id", "item_id").agg(days.alias("days"))
@@ -114,7 +124,7 @@ SELECT {STORE} AS store_id, {ITEM} AS item_id, sum(y)::BIGINT AS total_y, count(
                                      "nation"))
 def wide_sales_file(spark, sf):
     folder = scratch(spark)
-    path = files.write_panel(wide_sales(spark, sf), folder, "sales", *b.span(spark, sf), fmt="csv")
+    path = files.write_panel(_wide_rows(spark, sf), folder, "sales", *b.span(spark, sf), fmt="csv")
     long = reshape.wide_to_long(files.read_sales_wide(spark, path), ["store_id", "item_id"])
     return long.groupBy("store_id", "item_id").agg(F.sum(Y).alias("total_y"), F.count(F.lit(1)).alias("n_days"))
 

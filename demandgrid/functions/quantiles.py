@@ -27,11 +27,14 @@ def series_quantile(value: Column, p: float | Sequence[float]) -> Column:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    buckets: int = 512, weight: str | None = None) -> DataFrame:
-    """One row per group: ``by`` columns, ``n`` (non-null values) and ``q`` (array, one per prob).
+                    halvings: int = 8, weight: str | None = None) -> DataFrame:
+    """One row per group: ``by`` columns, ``n`` (non-null values), ``n_distinct`` and ``q``
+    (array, one per prob).
 
-    ``weight`` names a column of row counts when the input is already collapsed.
+    ``weight`` names a column of row counts when the input is already collapsed.  Values are cut
+    into 2^halvings buckets per group.
     """
+    buckets = 2 ** halvings
     by = list(by)
     one = "__all"
     keys = by or [one]
@@ -40,47 +43,39 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
               .groupBy(*keys, F.col(value).cast("double").alias("__v"))
               .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n")))
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    # totals ride with the sketch, so both readers of the counts want the same columns and share
+    # one exchange
     edges = counts.groupBy(*keys).agg(
-        F.percentile_approx("__v", steps, F.lit(8 * buckets)).alias("__edges"))
-    # position among the sorted edges; equal values always share a bucket
-    bucket = F.size(F.filter("__edges", lambda e: e < F.col("__v")))
-    placed = null_safe_join(counts, edges, keys).withColumn("__b", bucket).drop("__edges")
-    per_bucket = placed.groupBy(*keys, "__b").agg(F.sum("__n").alias("__bn"))
-    grp = Window.partitionBy(*keys)
-    span = grp.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = (per_bucket
-               .withColumn("__before", F.sum("__bn").over(span) - F.col("__bn"))
-               .withColumn("__total", F.sum("__bn").over(grp)))
+        F.percentile_approx("__v", steps, F.lit(8 * buckets)).alias("__edges"),
+        F.sum("__n").alias("__total"), F.count(F.lit(1)).alias("__distinct"))
+    # number of edges below the value by repeated halving; equal values always share a bucket
+    placed = null_safe_join(counts, edges, keys).withColumn("__b", F.lit(0))
+    for k in reversed(range(halvings)):
+        below = F.element_at("__edges", F.col("__b") + 2 ** k) < F.col("__v")
+        placed = placed.withColumn("__b", F.col("__b") + F.when(below, 2 ** k).otherwise(0))
+    placed = placed.drop("__edges")
+    per_bucket = placed.groupBy(*keys, "__b", "__total", "__distinct").agg(F.sum("__n").alias("__bn"))
+    span = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = per_bucket.withColumn("__before", F.sum("__bn").over(span) - F.col("__bn"))
+    # a wanted position lies between two neighbouring ranks, each with a share of the result
+    pos = [F.lit(float(p)) * (F.col("__total") - 1) for p in probs]
+    share = [x - F.floor(x) for x in pos]
     ranks = F.array(*[
-        F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("__total") - 1)).alias("pos"))
-        for i, p in enumerate(probs)])
-    # a wanted position lies between two neighbouring ranks, each in some bucket
-    wanted = (offsets.withColumn("__r", F.explode(ranks))
-              .withColumn("__r", F.explode(F.array(
-                  F.struct(F.col("__r.i").alias("i"), F.col("__r.pos").alias("pos"),
-                           F.floor("__r.pos").alias("k"), F.lit(0).alias("side")),
-                  F.struct(F.col("__r.i").alias("i"), F.col("__r.pos").alias("pos"),
-                           F.ceil("__r.pos").alias("k"), F.lit(1).alias("side")))))
-              .where((F.col("__r.k") >= F.col("__before"))
-                     & (F.col("__r.k") < F.col("__before") + F.col("__bn")))
-              .groupBy(*keys, "__b", "__before", "__total")
-              .agg(F.collect_list("__r").alias("__rs")))
+        F.struct(F.lit(i).alias("i"), rank.alias("k"), weight_.alias("w"))
+        for i, (x, f) in enumerate(zip(pos, share))
+        for rank, weight_ in ((F.floor(x), 1 - f), (F.ceil(x), f))])
+    here = F.filter("__ranks", lambda r: (r["k"] >= F.col("__before")) & (r["k"] < F.col("__before") + F.col("__bn")))
+    wanted = (offsets.withColumn("__ranks", ranks).withColumn("__rs", here)
+              .where(F.size("__rs") > 0).select(*keys, "__b", "__before", "__total", "__distinct", "__rs"))
     inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    hit = (null_safe_join(placed, wanted, [*keys, "__b"])
+    hit = (null_safe_join(placed.drop("__total", "__distinct"), wanted, [*keys, "__b"])
            .withColumn("__hi", F.col("__before") + F.sum("__n").over(inside))
            .withColumn("__r", F.explode("__rs"))
-           .where((F.col("__r.k") < F.col("__hi"))
-                  & (F.col("__r.k") >= F.col("__hi") - F.col("__n"))))
-    points = (hit.groupBy(*keys, "__total", F.col("__r.i").alias("__i"), F.col("__r.pos").alias("__pos"))
-              .agg(F.max(F.when(F.col("__r.side") == 0, F.col("__v"))).alias("__lo"),
-                   F.max(F.when(F.col("__r.side") == 1, F.col("__v"))).alias("__up"))
-              .withColumn("__f", F.col("__pos") - F.floor("__pos"))
-              .withColumn("__qv", F.col("__lo") * (1 - F.col("__f")) + F.col("__up") * F.col("__f")))
-    out = (points.groupBy(*keys, F.col("__total").alias("n"))
-           .agg(F.sort_array(F.collect_list(F.struct("__i", "__qv"))).alias("__p"))
-           .withColumn("q", F.transform("__p", lambda s: s["__qv"])))
-    return out.select(*by, "n", "q")
+           .where((F.col("__r.k") < F.col("__hi")) & (F.col("__r.k") >= F.col("__hi") - F.col("__n"))))
+    out = hit.groupBy(*keys, F.col("__total").alias("n"), F.col("__distinct").alias("n_distinct")).agg(*[
+        F.sum(F.when(F.col("__r.i") == i, F.col("__v") * F.col("__r.w"))).alias(f"__q{i}") for i in range(len(probs))])
+    return out.select(*by, "n", "n_distinct", F.array(*[F.col(f"__q{i}") for i in range(len(probs))]).alias("q"))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from demandgrid.functions.core import (
 )
 from demandgrid.functions.moments import pair_correlations
 from demandgrid.functions.quantiles import exact_quantiles, series_quantile
+from demandgrid.session import cut_lineage
 
 # Class borders of the ADI / CV-squared scheme.
 ADI_BORDER, CV2_BORDER = 1.32, 0.49
@@ -291,10 +292,10 @@ def daily_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def price_stats(df: DataFrame, price: str = "sell_price") -> DataFrame:
     """On-sale and off-sale rows with shares; mean, median, min and max of prices on sale.
 
-    Rows collapse to distinct prices once; every figure is read off that table.
+    Rows collapse to distinct prices, written once; every figure is read off that table.
     """
     p, n = F.col("__p"), F.col("n")
-    counts = df.groupBy(q(price).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(df.groupBy(q(price).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("n")))
     on, off = p > 0, p == 0
     n_on = F.coalesce(F.sum(F.when(on, n)), F.lit(0))
     n_off = F.coalesce(F.sum(F.when(off, n)), F.lit(0))
@@ -323,15 +324,15 @@ def price_bins(df: DataFrame, price: str = "sell_price", y: str = Y) -> DataFram
 
     Empty when fewer than five distinct prices exist.
     """
-    # demand collapses by price first: edges and bins then work on distinct prices only
-    by_price = (df.where(q(price) > 0).groupBy(q(price).cast("double").alias("__p"))
-                .agg(F.sum(y).alias("s"), F.count(y).alias("n"), F.count(F.lit(1)).alias("rows")))
-    edges = exact_quantiles(by_price, "__p", [0.2, 0.4, 0.6, 0.8], weight="rows").select("q").scalar()
-    distinct = by_price.agg(F.count(F.lit(1)).alias("k")).scalar()
+    # demand collapses by price first, written once: edges and bins work on distinct prices only
+    by_price = cut_lineage(df.where(q(price) > 0).groupBy(q(price).cast("double").alias("__p"))
+                           .agg(F.sum(y).alias("s"), F.count(y).alias("n"), F.count(F.lit(1)).alias("rows")))
+    edges = exact_quantiles(by_price, "__p", [0.2, 0.4, 0.6, 0.8], weight="rows").select(
+        F.struct("q", "n_distinct")).scalar()
     label = F.lit(PRICE_LABELS[4])
     for i in (3, 2, 1, 0):
-        label = F.when(F.col("__p") <= edges[i], PRICE_LABELS[i]).otherwise(label)
-    return (by_price.where(distinct >= 5).groupBy(label.alias("price_bin"))
+        label = F.when(F.col("__p") <= edges["q"][i], PRICE_LABELS[i]).otherwise(label)
+    return (by_price.where(edges["n_distinct"] >= 5).groupBy(label.alias("price_bin"))
             .agg(ratio(F.sum("s"), F.sum("n")).alias("mean_y"), F.sum("n").alias("n_rows")))
 
 

@@ -16,10 +16,10 @@ from demandgrid.functions.core import DS, ID, Y
 from demandgrid.operators.intervals import top_per_group
 
 
-def _matrix(rows: pd.DataFrame, n_days: int) -> np.ndarray:
+def _matrix(rows: pd.DataFrame, first: int, n_days: int) -> np.ndarray:
     m = np.zeros((len(rows), n_days))
     for i, (days, vals) in enumerate(zip(rows["days"], rows["vals"])):
-        m[i, days] = vals
+        m[i, days - first] = vals
     norm = np.sqrt((m * m).sum(axis=1))
     norm[norm == 0] = 1.0
     return m / norm[:, None]
@@ -44,30 +44,30 @@ def top_similar(panel: DataFrame, n: int = 5, within: Column | None = None, bloc
     split into blocks, so a large one spreads over many tasks.
     """
     group = F.lit("") if within is None else within.cast("string")
-    first = panel.agg(F.min(DS).alias("m")).scalar()
-    days = panel.agg((F.datediff(F.max(DS), F.min(DS)) + 1).alias("m")).scalar()
     # one row per series, bounded by its days; all-zero series keep empty arrays
     vectors = (panel.groupBy(group.alias("__g"), ID)
                .agg(F.collect_list(F.when(F.col(Y) != 0, F.struct(
-                   F.datediff(F.col(DS), first).alias("d"), F.col(Y).cast("double").alias("v")))).alias("__c"))
+                   F.unix_date(DS).alias("d"), F.col(Y).cast("double").alias("v")))).alias("__c"))
                .select("__g", ID, F.transform("__c", lambda c: c["d"]).alias("days"),
                        F.transform("__c", lambda c: c["v"]).alias("vals")))
-    blocks = panel.groupBy(group.alias("__g"), ID).agg(F.lit(1)).groupBy("__g").agg(
-        F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__nb"))
+    blocks = vectors.groupBy("__g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__nb"))
     sized = vectors.join(blocks, "__g").withColumn("__b", F.pmod(F.xxhash64(ID), F.col("__nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("__nb") - 1))
     placed = (sized.withColumn("__o", other)
               .select("__g", F.least("__b", "__o").alias("__p"), F.greatest("__b", "__o").alias("__q"),
-                      "__b", ID, "days", "vals", days.alias("n_days")))
+                      "__b", ID, "days", "vals"))
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q_, n_days = pdf["__p"].iloc[0], pdf["__q"].iloc[0], int(pdf["n_days"].iloc[0])
+        p, q_ = pdf["__p"].iloc[0], pdf["__q"].iloc[0]
+        sold = [d for d in pdf["days"] if len(d)]
+        first = min((int(d.min()) for d in sold), default=0)
+        n_days = max((int(d.max()) for d in sold), default=0) - first + 1
         a = pdf[pdf["__b"] == p]
-        ma, ka = _matrix(a, n_days), a[ID].to_numpy()
+        ma, ka = _matrix(a, first, n_days), a[ID].to_numpy()
         if p == q_:
             return _best(ma @ ma.T, ka, ka, n)
         b = pdf[pdf["__b"] == q_]
-        sim, kb = ma @ _matrix(b, n_days).T, b[ID].to_numpy()
+        sim, kb = ma @ _matrix(b, first, n_days).T, b[ID].to_numpy()
         return pd.concat([_best(sim, ka, kb, n), _best(sim.T, kb, ka, n)], ignore_index=True)
 
     found = placed.groupBy("__g", "__p", "__q").applyInPandas(

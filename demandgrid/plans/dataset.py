@@ -48,7 +48,8 @@ def prepare_sales(sales: DataFrame, calendar: DataFrame, dept: str | None, store
     arrays = reshape.make_id(arrays, keys).repartition(parts, "unique_id")
     long = cal_ops.code_to_date(reshape.explode_days(arrays, codes), calendar).withColumnRenamed("date", DS)
     long = intervals.periods_since_last_zero(intervals.periods_since_last_sale(long))
-    return long.where(F.col(DS).between(cal_ops.lag_padded_start(start, max_lag), day(end)))
+    return (long.where(F.col(DS).between(cal_ops.lag_padded_start(start, max_lag), day(end)))
+            .select("unique_id", *keys, DS, Y, reshape.SINCE_SALE, reshape.SINCE_ZERO))
 
 
 def build_features(series: DataFrame, calendar: DataFrame, prices: DataFrame,

@@ -10,7 +10,7 @@ from demandgrid.catalog import base as b
 from demandgrid.catalog.base import CALENDAR_CTE, query, with_panel
 from demandgrid.catalog.dataset_queries import CAL, EVENTS, FEATURES, features_frame
 from demandgrid.functions.core import DS, ID, Y
-from demandgrid.operators import calendars, event_effects, ranking
+from demandgrid.operators import calendars, event_effects, intervals, ranking
 from demandgrid.operators import features as f
 
 PI2 = repr(2 * math.pi)
@@ -136,6 +136,32 @@ def feature_chain(spark, sf):
     return out.select(*names, (F.col("event") != "No Event").alias("ev"))
 
 
+INTERVAL_CTE = """, run AS (SELECT *, sum((y > 0)::INTEGER) OVER s AS g, sum((y = 0)::INTEGER) OVER s AS z
+  FROM feats WINDOW s AS (PARTITION BY unique_id ORDER BY ds)),
+mf AS (SELECT *, CASE WHEN y = 0 THEN sum((y = 0)::INTEGER) OVER (PARTITION BY unique_id, g ORDER BY ds) ELSE 0 END AS a,
+  CASE WHEN y > 0 THEN sum((y > 0)::INTEGER) OVER (PARTITION BY unique_id, z ORDER BY ds) ELSE 0 END AS b FROM run)"""
+_KEEP = "unique_id, ds, y, is_item_exists"
+
+
+def _model_frame(spark, sf):
+    df = features_frame(spark, sf).select(ID, DS, Y, "is_item_exists", "weekday", "month", "sell_price")
+    return intervals.periods_since_last_zero(intervals.periods_since_last_sale(df))
+
+
+@query("model_columns_linear", FEATURES + INTERVAL_CTE + f""", st AS (SELECT avg(sell_price) FILTER (sell_price > 0) AS pm,
+  stddev_pop(sell_price) FILTER (sell_price > 0) AS ps, avg(a) AS am, stddev_pop(a) AS sa, avg(b) AS bm, stddev_pop(b) AS sb FROM mf)
+SELECT {_KEEP}, round(CASE WHEN sell_price > 0 THEN (sell_price - pm) / ps ELSE sell_price END, 6) AS sell_price,
+  round((a - am) / sa, 6) AS "periods since last sales", round((b - bm) / sb, 6) AS "periods since last 0 sales", {_OHE}, {_OHM} FROM mf, st""")
+def model_columns_linear(spark, sf):
+    return f.ModelColumns().fit_transform(_model_frame(spark, sf))
+
+
+@query("model_columns_trees", FEATURES + INTERVAL_CTE + f"""
+SELECT {_KEEP}, sell_price, a::BIGINT AS "periods since last sales", b::BIGINT AS "periods since last 0 sales", {_OHE}, {_OHM} FROM mf""")
+def model_columns_trees(spark, sf):
+    return f.ModelColumns(scale=False).fit_transform(_model_frame(spark, sf))
+
+
 @query("small_predictions_zeroed", """
 SELECT event_id, round(CASE WHEN v <= 0.1 THEN 0 ELSE v END, 6) AS strict,
   round(CASE WHEN w < 0 OR abs(w) <= 1e-8 THEN 0 ELSE w END, 6) AS close FROM (

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from demandgrid.catalog import base as b
 from demandgrid.catalog.base import query, with_panel
+from demandgrid.catalog.dataset_queries import scratch
 from demandgrid.functions.core import DS, ID, Y
-from demandgrid.operators import boosting, search
+from demandgrid.operators import boosting, ranking, search
 from demandgrid.operators import regression as r
 from demandgrid.operators.backtest import Windows
 from demandgrid.plans.training import train_and_evaluate
+from demandgrid.sources import files
 
 WINDOWS = Windows(28, 3)
 ONE_LAG = r.LagSpec(lags=(1,), rolling=(), weekday=False, month=False)
@@ -71,6 +73,82 @@ def local_linear_one_lag(spark, sf):
     return r.local_backtest(b.panel(spark, sf), ONE_LAG, WINDOWS)
 
 
+def _fits(alpha: float) -> str:
+    return f"""(SELECT k.i, min(k.cutoff) AS cutoff, (count(*) * covar_pop(f.y, f.x)) / (count(*) * var_pop(f.x) + {alpha}) AS b,
+  avg(f.y) - (count(*) * covar_pop(f.y, f.x)) / (count(*) * var_pop(f.x) + {alpha}) * avg(f.x) AS a
+  FROM cuts k JOIN (SELECT *, lag(y) OVER (PARTITION BY unique_id ORDER BY ds) AS x FROM pos) f
+    ON f.unique_id = k.unique_id AND f.p <= k.c AND f.x IS NOT NULL GROUP BY k.i)"""
+
+
+IMPORTANCE_CTE = POS_CTE + f""",
+fits AS {_fits(5000.0)},
+imp AS (SELECT 'intercept' AS feature, a AS value FROM fits UNION ALL SELECT 'lag1', b FROM fits)"""
+
+
+def _one_lag_importance(spark, sf):
+    panel = b.panel(spark, sf)
+    fitted = r.fit_ridge_windows(r.products(r.lag_frame(panel, ONE_LAG, WINDOWS), ONE_LAG), WINDOWS, 5000.0)
+    return r.ridge_importance(panel, ONE_LAG, fitted, r.fold_names(panel, WINDOWS))
+
+
+@query("importance_by_fold", with_panel("""
+SELECT 'lag1' AS feature, (cutoff + 1)||'_'||(cutoff + 28) AS fold, round(b, 6) AS value FROM fits
+UNION ALL SELECT 'intercept', (cutoff + 1)||'_'||(cutoff + 28), round(a, 6) FROM fits""", more=IMPORTANCE_CTE))
+def importance_by_fold(spark, sf):
+    return _one_lag_importance(spark, sf)
+
+
+@query("importance_over_folds", with_panel("""
+SELECT feature, round(avg(value), 6) AS importance, round(stddev_samp(value), 6) AS spread, count(*) AS n_folds FROM imp GROUP BY 1""",
+                                          more=IMPORTANCE_CTE))
+def importance_over_folds(spark, sf):
+    return r.importance_summary(_one_lag_importance(spark, sf))
+
+
+@query("importance_first_fold", with_panel("""
+SELECT 'lag1' AS feature, round(b, 6) AS importance FROM fits WHERE i = 2 UNION ALL SELECT 'intercept', round(a, 6) FROM fits WHERE i = 2""",
+                                          more=IMPORTANCE_CTE))
+def importance_first_fold(spark, sf):
+    return r.first_fold_importance(_one_lag_importance(spark, sf))
+
+
+@query("top_features", with_panel("""
+SELECT feature, round(avg(value), 6) AS importance, round(stddev_samp(value), 6) AS spread, count(*) AS n_folds FROM imp GROUP BY 1
+ORDER BY abs(avg(value)) DESC LIMIT 1""", more=IMPORTANCE_CTE))
+def top_features(spark, sf):
+    return ranking.top_features(r.importance_summary(_one_lag_importance(spark, sf)), 1)
+
+
+@query("saved_model_predictions", with_panel("""
+SELECT unique_id, ds, y::DOUBLE AS y, x::DOUBLE AS lag1, round(a + b * x, 6) AS prediction FROM (SELECT *, lag(y) OVER (PARTITION BY unique_id ORDER BY ds) AS x FROM panel) l,
+  (SELECT b, my - b * mx AS a FROM (SELECT count(*) * covar_pop(y, x) / (count(*) * var_pop(x) + 5000) AS b, avg(y) AS my, avg(x) AS mx
+    FROM (SELECT *, lag(y) OVER (PARTITION BY unique_id ORDER BY ds) AS x FROM panel) WHERE x IS NOT NULL)) WHERE x IS NOT NULL"""))
+def saved_model_predictions(spark, sf):
+    """Pooled ridge as a library pipeline, saved, loaded and applied."""
+    frame = r.lag_frame(b.panel(spark, sf), ONE_LAG)
+    path = scratch(spark)
+    files.save_model(r.fit_ridge(frame, ONE_LAG, 5000.0), path)
+    return files.load_model(path).transform(frame).drop("features")
+
+
+def _search_sql() -> str:
+    parts = []
+    for t in search.draw("Ridge", 4, 42, lag_choices=((1,),), rolling_choices=((),)):
+        parts.append(f"""
+SELECT {t['trial']} AS trial, 'Ridge' AS model, '[1]' AS lags, '[]' AS rolling, 'mae' AS score_name, round(avg(e), 6) AS mae,
+  round(sqrt(avg(e * e)), 6) AS rmse, round(avg(coalesce(e / nullif(abs(y) + abs(hat), 0), 0)), 6) AS smape, round(avg(e), 6) AS score
+FROM (SELECT t.y, hat, abs(t.y - hat) AS e FROM (
+  SELECT t.y, pow(f.b, t.p - k.c) * k.last_y + f.a * (1 - pow(f.b, t.p - k.c)) / (1 - f.b) AS hat
+  FROM pos t JOIN cuts k ON t.unique_id = k.unique_id AND t.p BETWEEN k.c + 1 AND k.c + 28 JOIN {_fits(t['params']['alpha'])} f ON f.i = k.i) t)""")
+    return " UNION ALL ".join(parts)
+
+
+@query("one_lag_search", with_panel(_search_sql(), more=POS_CTE))
+def one_lag_search(spark, sf):
+    return search.random_search(b.panel(spark, sf), WINDOWS, "Ridge", 4, base=ONE_LAG, lag_choices=((1,),),
+                                rolling_choices=((),)).drop("params")
+
+
 @query("ridge_backtest")
 def ridge_backtest(spark, sf):
     return r.ridge_backtest(with_snap(spark, sf), FULL, WINDOWS, 1.0)[0]

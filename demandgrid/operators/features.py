@@ -309,6 +309,31 @@ def zero_small(df: DataFrame, cols: Sequence[str] | None = None, threshold: floa
     return df.withColumns({c: rule(c) for c in cols})
 
 
+class ModelColumns(FeatureStep):
+    """Column-wise preparation of a model frame: indicators, price scaled above zero, counters
+    standard-scaled, every other column passed through.  Trees take ``scale=False``."""
+
+    def __init__(self, baselines: Mapping[str, object] | None = None, price: str | None = "sell_price",
+                 counters: Sequence[str] = ("periods since last sales", "periods since last 0 sales"),
+                 scale: bool = True, unseen: str = "error") -> None:
+        super().__init__()
+        self.steps: list[FeatureStep] = [
+            BaselineEncoder(baselines if baselines is not None else {"weekday": "Monday", "month": 1}, unseen=unseen)]
+        if scale and price:
+            self.steps.append(ThresholdScaler([price]))
+        if scale and counters:
+            self.steps.append(Scaler(list(counters)))
+
+    def _fit(self, df: DataFrame) -> None:
+        for step in self.steps:  # each step touches its own columns, so all fit on the input
+            step.fit(df)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        for step in self.steps:
+            df = step.transform(df)
+        return df
+
+
 class FeaturePlan(FeatureStep):
     """Fourier -> event and benefit flags -> encoding -> scaling, each optional, one lazy plan."""
 

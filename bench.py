@@ -34,6 +34,7 @@ def main() -> None:
         t0 = time.perf_counter()
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf.rstrip("/")), "cpus": int(cpus)}))

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 SEGMENT = 1 << 20        # characters of a text that are split at once
 LONG_PIECE = 64          # bytes; from here on a pre-token has a queue of its own
-REMEMBERED = 1 << 19     # pre-tokens and stretches a worker keeps from batch to batch
+PART = 1 << 23           # characters of a batch whose pre-tokens share a queue
+REMEMBERED = 1 << 18     # pre-tokens, and stretches, a worker keeps from part to part
 BLANK_BEFORE_SPACE = re.compile(r"\s ")
 AFTER_INK = re.compile(r"(?<=\S)(?= )")
 BITS = [1 << i for i in range(256)]
@@ -207,6 +208,17 @@ class Vocabulary:
         No pre-token has a space after another character than white space.  Texts can therefore be taken apart
         there, and the stretches between, mostly a word with its punctuation, be looked up whole.  A stretch is
         named without its leading space; the start of a text, which has none, is kept apart."""
+        packed, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < PART):
+                size += len(texts[end] or "")
+                end += 1
+            packed += self._encode_part(texts[at:end])
+            at = end
+        return packed
+
+    def _encode_part(self, texts: list[str | None]) -> list[bytes]:
         seen, heads = set(), set()
         for text in texts:
             for head, stretches in _taken_apart(text or ""):

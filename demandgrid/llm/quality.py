@@ -45,7 +45,7 @@ RULES = (
     Rule("symbols", "symbols_per_word", most=0.1),
     Rule("shouting", "capitals_per_letter", most=0.5),
     Rule("few_stop_words", "stop_word_share", least=0.06),
-    Rule("duplicate_lines", "duplicate_line_share", most=0.3),
+    Rule("duplicate_lines", "duplicate_line_share", most=0.5),
     Rule("bullet_lines", "bullet_line_share", most=0.9),
     Rule("ellipsis_lines", "ellipsis_line_share", most=0.3),
     Rule("repeated_words", "repeated_word_share", most=0.5),

@@ -94,7 +94,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2,
                     extra: dict[str, Column] | None = None) -> DataFrame:
-    """Key, ``fp`` (signed long) and ``component_id``; ``extra`` adds columns of the input under new names."""
+    """Key, ``fp`` (signed long), ``root`` (smallest fingerprint of the component) and ``component_id``; ``extra`` adds
+    columns of the input under new names."""
     extra = extra or {}
     docs = materialise(df.select(F.col(key).alias("k"), fingerprints(F.col(text), shingle).alias("fp"),
                                  *[c.alias(n) for n, c in extra.items()]))
@@ -102,8 +103,8 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
     root = components(links(prints.select("fp"), radius))
     rooted = prints.join(root, prints.fp == root.u, "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return docs.join(classes, "fp").select(F.col("k").alias(key), "fp", "component_id", *extra)
+    classes = rooted.join(named, "root").select("fp", "root", "component_id")
+    return docs.join(classes, "fp").select(F.col("k").alias(key), "fp", "root", "component_id", *extra)
 
 
 def first_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -111,7 +112,7 @@ def first_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", shi
     then the smallest text hash), and of equal rows one."""
     h = F.xxhash64(F.col(text))
     near = near_duplicates(df, key=key, text=text, shingle=shingle, radius=radius, extra={"th": h})
-    kept = (near.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull().alias("late"), F.col(key).alias("k"), "th")).alias("m"))
+    kept = (near.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("late"), F.col(key).alias("k"), "th")).alias("m"))
             .select(F.col("m.k").alias("kk"), F.col("m.th").alias("kth")))
     rows = df.select(F.struct("*").alias("row"), F.col(key).alias("rk"), h.alias("rth"))
     found = rows.join(kept, F.col("rk").eqNullSafe(F.col("kk")) & (F.col("rth") == F.col("kth")), "left_semi")

@@ -15,15 +15,13 @@ H, N = 28, 3
 MODELS = ["Naive", "SeasonalNaive", "ZeroModel"]
 
 
-def _windows_sql(cut: str, more: str) -> str:
-    """Predictions of all windows; ``cut`` gives the training rows of window i of a series of n rows."""
+def _windows_sql(cut: str, many: str) -> str:
+    """Predictions of the first ``many`` windows; ``cut`` gives the training rows of window i of a series of n rows."""
     return f"""
-pos AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS p, count(*) OVER (PARTITION BY unique_id) AS n FROM panel),
-wins AS (SELECT DISTINCT unique_id, i, {cut} AS c FROM pos, (SELECT unnest(range(0, {more})) AS i)),
-cuts AS (SELECT unique_id, i, c, ds AS cutoff, y AS last_y FROM wins JOIN pos USING (unique_id) WHERE p = c AND c + {H} <= n),
-pred AS (SELECT t.unique_id, t.ds, cutoff, t.y, last_y::DOUBLE AS "Naive", s.y::DOUBLE AS "SeasonalNaive", 0::DOUBLE AS "ZeroModel"
-  FROM cuts JOIN pos t ON t.unique_id = cuts.unique_id AND t.p BETWEEN c + 1 AND c + {H}
-  JOIN pos s ON s.unique_id = t.unique_id AND s.p = c - 6 + (t.p - c - 1) % 7)"""
+seq AS (SELECT unique_id, list(ds ORDER BY ds) AS dss, list(y::DOUBLE ORDER BY ds) AS ys, count(*) AS n FROM panel GROUP BY 1),
+cuts AS (SELECT *, {cut} AS c FROM (SELECT *, unnest(range(0, {many})) AS i FROM seq) WHERE {cut} > 0 AND {cut} + {H} <= n),
+pred AS (SELECT unique_id, dss[c + k] AS ds, dss[c] AS cutoff, ys[c + k]::BIGINT AS y, ys[c] AS "Naive",
+  ys[c - 6 + (k - 1) % 7] AS "SeasonalNaive", 0::DOUBLE AS "ZeroModel" FROM (SELECT *, unnest(range(1, {H} + 1)) AS k FROM cuts))"""
 
 
 PRED_CTE = _windows_sql(f"n - {H} - i * {H}", str(N))
@@ -41,7 +39,7 @@ def baseline_backtest(spark, sf):
     return predictions(spark, sf)
 
 
-@query("expanding_windows", with_panel("SELECT * FROM pred", more=_windows_sql("730 + 30 * i", "1000")))
+@query("expanding_windows", with_panel("SELECT * FROM pred", more=_windows_sql("730 + 30 * i", f"(n - {H} - 730) // 30 + 1")))
 def expanding_windows(spark, sf):
     return bt.baseline_backtest(b.panel(spark, sf), bt.Windows(H, None, step=30, initial=730))
 
@@ -51,10 +49,9 @@ def overlapping_windows(spark, sf):
     return bt.baseline_backtest(b.panel(spark, sf), bt.Windows(H, 5, step=7))
 
 
-@query("baseline_forecast", with_panel(f"""
-SELECT e.unique_id, CAST(e.ds + CAST(k + 1 AS INTEGER) AS DATE) AS ds, e.y::DOUBLE AS "Naive", s.y::DOUBLE AS "SeasonalNaive", 0::DOUBLE AS "ZeroModel"
-FROM pos e, (SELECT unnest(range(0, 31)) AS k), pos s WHERE e.p = e.n AND s.unique_id = e.unique_id AND s.p = e.n - 6 + k % 7""",
-                                       more=PRED_CTE))
+@query("baseline_forecast", with_panel("""
+SELECT unique_id, CAST(dss[n] + CAST(k + 1 AS INTEGER) AS DATE) AS ds, ys[n] AS "Naive", ys[n - 6 + k % 7] AS "SeasonalNaive", 0::DOUBLE AS "ZeroModel"
+FROM (SELECT *, unnest(range(0, 31)) AS k FROM seq)""", more=PRED_CTE))
 def baseline_forecast(spark, sf):
     return bt.forecast_baselines(b.panel(spark, sf), 31)
 

@@ -331,10 +331,10 @@ def price_histogram(spark, sf):
 
 
 @query("total_demand_log_histogram", with_panel("""
-SELECT floor((log10(t) - 0) / (6.0::DOUBLE / 99))::INTEGER AS bin,
-  round(pow(10, floor(log10(t) / (6.0::DOUBLE / 99)) * (6.0::DOUBLE / 99)), 6) AS bin_from,
-  round(pow(10, (floor(log10(t) / (6.0::DOUBLE / 99)) + 1) * (6.0::DOUBLE / 99)), 6) AS bin_to, count(*) AS n
-FROM (SELECT unique_id, sum(y) AS t FROM panel GROUP BY 1) WHERE t > 0 GROUP BY 1, 2, 3""", "nation"))
+SELECT bin, CASE WHEN bin >= 0 THEN round(pow(10, bin * (6.0::DOUBLE / 99)), 6) END AS bin_from,
+  CASE WHEN bin < 99 THEN round(pow(10, (bin + 1) * (6.0::DOUBLE / 99)), 6) END AS bin_to, count(*) AS n
+FROM (SELECT (CASE WHEN t < 1 THEN -1 WHEN t > 1000000 THEN 99 ELSE least(floor(log10(t) / (6.0::DOUBLE / 99)), 98) END)::INTEGER AS bin
+  FROM (SELECT unique_id, sum(y) AS t FROM panel GROUP BY 1)) GROUP BY 1""", "nation"))
 def total_demand_log_histogram(spark, sf):
     totals = b.panel(spark, sf, "nation").groupBy(ID).agg(F.sum(Y).alias("t"))
     return p.log_histogram(totals, "t")
@@ -415,15 +415,13 @@ def strong_correlations(spark, sf):
 
 
 @query("series_correlations", with_panel("""
-SELECT x.unique_id AS a, z.unique_id AS b, round(corr(x.y, z.y), 6) AS r FROM panel x JOIN panel z
-  ON x.ds = z.ds AND x.unique_id < z.unique_id GROUP BY 1, 2"""))
+SELECT a AS unique_id, b AS other_id, r, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY r DESC, b) AS rank FROM (
+    SELECT x.unique_id AS a, z.unique_id AS b, round(corr(x.y, z.y), 6) AS r FROM panel x JOIN panel z
+      ON x.ds = z.ds AND x.unique_id <> z.unique_id GROUP BY 1, 2)) WHERE rank <= 3"""))
 def series_correlations(spark, sf):
-    """Correlation between the region-by-type series, one column per series."""
-    from demandgrid.operators.reshape import series_to_columns
-    panel = b.panel(spark, sf)
-    names = sorted(r[0] for r in b.observed(spark, sf, "region").select(ID).distinct().limit(201).collect())
-    wide = series_to_columns(panel, names)
-    return p.correlation_matrix(wide, names)
+    """The three most correlated other series of each region-by-type series."""
+    return p.correlated_series(b.panel(spark, sf), 3)
 
 
 @query("most_variable_columns", "SELECT * FROM (" + " UNION ALL ".join(

@@ -53,14 +53,17 @@ def percent(cond: Column) -> Column:
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """Pearson correlation over rows with both values; NULL when one side is constant.
+    """Pearson correlation over rows with both values (NaN counts as missing); NULL when one side is constant.
 
-    (The built-in ``corr`` raises a division error for constant input in ANSI mode.)
+    The moments are updated and merged around running means, so large values with a small spread do not
+    cancel; rounding cannot push the result out of [-1, 1].  (The built-in ``corr`` raises a division error
+    for constant input in ANSI mode.)
     """
-    x, y = x.cast("double"), y.cast("double")
+    x, y = (F.nanvl(v.cast("double"), F.lit(None).cast("double")) for v in (x, y))
     both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.try_divide(F.covar_pop(x, y), spread)
+    x, y = F.when(both, x), F.when(both, y)
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def period_end(freq: str, col: str | Column = DS) -> Column:

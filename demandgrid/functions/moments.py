@@ -24,7 +24,8 @@ def pair_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Values are shifted by their column means first, so the sums do not cancel.
     """
     cols, p = list(cols), len(cols)
-    means = df.agg(*[F.avg(q(c).cast("double")) for c in cols]).first()
+    present = {c: F.nanvl(q(c).cast("double"), F.lit(None).cast("double")) for c in cols}
+    means = df.agg(*[F.avg(v) for v in present.values()]).first()
     shift = np.array([m if m is not None else 0.0 for m in means])
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,7 +37,7 @@ def pair_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             acc += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
         yield pd.DataFrame({"m": [acc.ravel()]})
 
-    parts = df.select(*[q(c).cast("double").alias(c) for c in cols]).mapInPandas(sums, "m array<double>")
+    parts = df.select(*[v.alias(c) for c, v in present.items()]).mapInPandas(sums, "m array<double>")
     kind, at = F.floor(F.col("pos") / (p * p)), F.col("pos") % (p * p)
     i, j = F.floor(at / p).cast("int"), (at % p).cast("int")
     lo, hi = F.least("i", "j"), F.greatest("i", "j")
@@ -55,7 +56,8 @@ def pair_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cov = F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), n)
     # a constant column leaves only rounding noise: no correlation
     flat = (va <= 1e-12 * F.col("saa")) | (vb <= 1e-12 * F.col("sbb"))
-    r = F.when(~flat, F.try_divide(cov, F.sqrt(va * vb)))
+    r = F.when(~flat, F.try_divide(cov, F.sqrt(va) * F.sqrt(vb)))
+    r = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
     names = F.array(*[F.lit(c) for c in cols])
     return cell.select(F.element_at(names, F.col("lo") + 1).alias("a"), F.element_at(names, F.col("hi") + 1).alias("b"),
                        r.alias("r"))

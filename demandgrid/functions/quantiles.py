@@ -45,11 +45,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     # totals ride with the sketch, so both readers of the counts want the same columns and share
     # one exchange
-    edges = counts.groupBy(*keys).agg(
-        F.percentile_approx("__v", steps, F.lit(8 * buckets)).alias("__edges"),
-        F.sum("__n").alias("__total"), F.count(F.lit(1)).alias("__distinct"))
+    sketch = (F.percentile_approx("__v", steps, F.lit(8 * buckets)).alias("__edges"),
+              F.sum("__n").alias("__total"), F.count(F.lit(1)).alias("__distinct"))
     # number of edges below the value by repeated halving; equal values always share a bucket
-    placed = null_safe_join(counts, edges, keys).withColumn("__b", F.lit(0))
+    if by:
+        placed = null_safe_join(counts, counts.groupBy(*keys).agg(*sketch), keys)
+    else:  # a single row: read as a value, not joined on a constant
+        placed = counts.withColumn("__s", counts.agg(F.struct(*sketch)).scalar()).select("*", "__s.*").drop("__s")
+    placed = placed.withColumn("__b", F.lit(0))
     for k in reversed(range(halvings)):
         below = F.element_at("__edges", F.col("__b") + 2 ** k) < F.col("__v")
         placed = placed.withColumn("__b", F.col("__b") + F.when(below, 2 ** k).otherwise(0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandgrid.functions.core import DS, Y, q, ratio
@@ -15,26 +15,33 @@ def _by_event(df: DataFrame, flags: Sequence[str], y: str) -> DataFrame:
     """Count, sum and sum of squares of y on and off each event.
 
     Rows first collapse to distinct flag combinations; only those few are unpivoted, so the
-    table is not multiplied by the number of events.
+    table is not multiplied by the number of events.  Sums are taken about the overall mean, ``centre``, from
+    moments that merge without cancelling.
     """
     v = q(y).cast("double")
     combos = (df.groupBy(*[q(f).cast("int").alias(f) for f in flags])
-              .agg(F.count(F.lit(1)).alias("__rows"), F.count(v).alias("__n"), F.sum(v).alias("__s"),
-                   F.sum(v * v).alias("__ss")))
-    long = combos.unpivot(["__rows", "__n", "__s", "__ss"], list(flags), "event", "on")
+              .agg(F.count(F.lit(1)).alias("__rows"), F.count(v).alias("__n"), F.avg(v).alias("__m"),
+                   F.var_pop(v).alias("__var")))
+    everything = Window.partitionBy()  # a row per combination of flags, at most one per day
+    off = F.col("__m") - F.col("__centre")
+    combos = (combos.withColumn("__centre", F.try_divide(F.sum(F.col("__n") * F.col("__m")).over(everything),
+                                                         F.sum("__n").over(everything)))
+              .withColumn("__s", F.col("__n") * off).withColumn("__ss", F.col("__n") * (F.col("__var") + off * off))
+              .drop("__m", "__var"))
+    long = combos.unpivot(["__rows", "__n", "__s", "__ss", "__centre"], list(flags), "event", "on")
 
     def side(col: str, value: int):
         return F.coalesce(F.sum(F.when(F.col("on") == value, F.col(col))), F.lit(0))
 
     return long.groupBy("event").agg(
-        side("__rows", 1).alias("event_count"), F.sum("__rows").alias("n_rows"),
+        F.max("__centre").alias("centre"), side("__rows", 1).alias("event_count"), F.sum("__rows").alias("n_rows"),
         side("__n", 1).alias("n1"), side("__s", 1).alias("s1"), side("__ss", 1).alias("ss1"),
         side("__n", 0).alias("n0"), side("__s", 0).alias("s0"), side("__ss", 0).alias("ss0"))
 
 
 def event_impact(df: DataFrame, flags: Sequence[str], y: str = Y) -> DataFrame:
     """Mean demand on and off each event, lift in %, frequency in %, family."""
-    on, off = ratio(F.col("s1"), F.col("n1")), ratio(F.col("s0"), F.col("n0"))
+    on, off = (F.col("centre") + ratio(F.col(f"s{i}"), F.col(f"n{i}")) for i in (1, 0))
     return (_by_event(df, flags, y)
             .select("event",
                     F.when(F.lower("event").startswith("snap"), "SNAP").otherwise("Other").alias("family"),

@@ -96,14 +96,13 @@ class OneHotBaseline(FeatureStep):
     """One column per level, the baseline level first; ``drop_first`` leaves the baseline out.
 
     A single level is kept even with ``drop_first``.  Unseen levels raise an error unless
-    ``unseen='zero'``.
+    ``unseen='zero'``.  The driver learns one value per column it is going to make, however many.
     """
 
-    def __init__(self, col: str, baseline: object, drop_first: bool = True, unseen: str = "error",
-                 most: int = 1000) -> None:
+    def __init__(self, col: str, baseline: object, drop_first: bool = True, unseen: str = "error") -> None:
         super().__init__()
         self.col, self.baseline, self.drop_first = col, baseline, drop_first
-        self.unseen, self.most, self.needs = unseen, most, [col]
+        self.unseen, self.needs = unseen, [col]
         self.levels: list = []
 
     def learn(self, levels: Sequence[object]) -> None:
@@ -119,10 +118,7 @@ class OneHotBaseline(FeatureStep):
         self.levels = values
 
     def _fit(self, df: DataFrame) -> None:
-        rows = df.select(q(self.col)).where(q(self.col).isNotNull()).distinct().limit(self.most + 1).collect()
-        if len(rows) > self.most:
-            raise ValueError(f"{self.col} has more than {self.most} levels")
-        self.learn([r[0] for r in rows])
+        self.learn([r[0] for r in df.select(q(self.col)).where(q(self.col).isNotNull()).distinct().collect()])
 
     @property
     def kept(self) -> list:
@@ -154,7 +150,7 @@ class OneHotBaseline(FeatureStep):
 
 
 class BaselineEncoder(FeatureStep):
-    """Several :class:`OneHotBaseline` columns, fitted by one aggregate."""
+    """Several :class:`OneHotBaseline` columns, fitted one after the other on the distinct levels of each."""
 
     def __init__(self, baselines: Mapping[str, object], drop_first: bool = True, unseen: str = "error") -> None:
         super().__init__()
@@ -162,15 +158,10 @@ class BaselineEncoder(FeatureStep):
         self.encoders: dict[str, OneHotBaseline] = {}
 
     def _fit(self, df: DataFrame) -> None:
-        cols = [c for c in self.baselines if c in df.columns]
-        # levels collapse to distinct combinations map-side before they are gathered
-        combos = df.select(*[q(c) for c in cols]).distinct()
-        row = combos.agg(*[F.collect_set(q(c)) for c in cols]).first()
-        for c, levels in zip(cols, row):
-            enc = OneHotBaseline(c, self.baselines[c], self.drop_first, self.unseen)
-            enc.learn(levels)
-            enc.fitted = True
-            self.encoders[c] = enc
+        for c in self.baselines:
+            if c in df.columns:
+                self.encoders[c] = OneHotBaseline(c, self.baselines[c], self.drop_first, self.unseen)
+                self.encoders[c].fit(df)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         made = [c for e in self.encoders.values() for c in e.columns()]
@@ -272,9 +263,7 @@ class EventFlags(FeatureStep):
         self.events: list[str] = []
 
     def _fit(self, df: DataFrame) -> None:
-        rows = df.select(q(self.col)).where(q(self.col).isNotNull()).distinct().limit(1001).collect()
-        if len(rows) > 1000:
-            raise ValueError(f"{self.col} has more than 1000 events")
+        rows = df.select(q(self.col)).where(q(self.col).isNotNull()).distinct().collect()
         self.events = sorted(r[0] for r in rows if r[0] != NO_EVENT)
 
     def _transform(self, df: DataFrame) -> DataFrame:

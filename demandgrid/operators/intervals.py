@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from demandgrid.functions.core import ID, Y, running, series_window
+from demandgrid.functions.core import DS, ID, Y, q, running, series_window
 
 
 def _with_since(panel: DataFrame, key: str, y: str, name: str, sale_resets: bool) -> DataFrame:
@@ -64,19 +65,27 @@ def rolling_stats(panel: DataFrame, windows: Sequence[int] = (7, 14, 28), lag: i
 
 
 def ewm_mean(panel: DataFrame, alpha: float, lag: int = 1, key: str = ID, y: str = Y) -> DataFrame:
-    """Exponentially weighted mean of the lagged series, started at its first value.
+    """Exponentially weighted mean of the lagged series, started at its first value (0 < alpha <= 1).
 
-    The weight of a value k rows back is (1 - alpha)^k; rows whose weight is under 1e-18 cannot
-    change a double, so the frame ends there and stays bounded.
+    m(t) = alpha y(t) + (1 - alpha) m(t - 1) over the whole history; missing values are skipped.  A recursion
+    is no window aggregate, so each series, bounded by its days, is one Arrow batch and costs one step a day.
     """
-    depth = max(1, math.ceil(math.log(1e-18) / math.log(1 - alpha)))
-    w = series_window(key).rowsBetween(-(lag + depth - 1), -lag)
-    past = F.collect_list(F.col(y).cast("double")).over(w)
-    mean = F.aggregate(
-        F.slice("__past", 2, depth), F.get("__past", 0),
-        lambda acc, v: acc * F.lit(1 - alpha) + v * F.lit(alpha))
-    return (panel.withColumn("__past", past)
-            .withColumn(f"ewm_lag{lag}_alpha{alpha}", F.when(F.size("__past") > 0, mean)).drop("__past"))
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha lies in (0, 1]")
+    name = f"ewm_lag{lag}_alpha{alpha}"
+
+    def one_series(t: pa.Table) -> pa.Table:
+        t = t.sort_by(DS)
+        mean, state = [], None
+        for v in t["__v"].to_pylist():
+            if v is not None:
+                state = v if state is None else state * (1 - alpha) + v * alpha
+            mean.append(state)
+        lagged = ([None] * lag + mean)[:len(mean)]
+        return t.drop_columns(["__v"]).append_column(name, pa.array(lagged, pa.float64()))
+
+    schema = T.StructType([*panel.schema.fields, T.StructField(name, T.DoubleType())])
+    return panel.withColumn("__v", q(y).cast("double")).groupBy(key).applyInArrow(one_series, schema)
 
 
 def naive_errors(panel: DataFrame, key: str = ID, y: str = Y) -> DataFrame:

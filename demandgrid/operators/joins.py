@@ -42,8 +42,12 @@ def checked_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how
 
 
 def combine_predictions(model: DataFrame, baseline: DataFrame, check: bool = False) -> DataFrame:
-    """Model and baseline predictions side by side, matched on every shared column."""
-    shared = [c for c in model.columns if c in baseline.columns]
+    """Model and baseline predictions side by side, matched on series, day and cutoff (those both have).
+
+    The actual value is no key: it comes from the model's side.  ``check`` refuses a result whose rows are not
+    those of the model, one for one, as when cutoffs differ.
+    """
+    shared = [c for c in model.columns if c in baseline.columns and c in (ID, DS, "cutoff")]
 
     def tidy(df: DataFrame) -> DataFrame:
         dates = [c for c in (DS, "cutoff") if c in df.columns]
@@ -55,7 +59,12 @@ def combine_predictions(model: DataFrame, baseline: DataFrame, check: bool = Fal
         return df.dropna(subset=[c for c in (*dates, Y) if c in df.columns])
 
     a, b = tidy(model), tidy(baseline)
-    return checked_join(a, b, shared) if check else a.join(b, shared)
+    out = a.join(b.drop(*[c for c in b.columns if c in a.columns and c not in shared]), shared)
+    if check:
+        have, want = out.count(), a.count()
+        if have != want or not want:
+            raise ValueError(f"{want} predictions met baselines on {shared} in {have} rows")
+    return out
 
 
 def join_models(parts: Mapping[str, DataFrame], keys: Sequence[str] = (ID, DS, "cutoff", Y)) -> DataFrame:

@@ -17,8 +17,9 @@ def to_panel(rows: DataFrame, unique_id: Column, ds: Column, y: Column | None =
     day and task.  Afterwards no series is longer than the calendar.
     """
     y = F.count(F.lit(1)) if y is None else y
-    return (rows.select(unique_id.alias(ID), ds.cast("date").alias(DS), *rows.columns)
-            .groupBy(ID, DS).agg(y.alias(Y)))
+    # the source may have columns of these names itself
+    return (rows.select("*", unique_id.alias("__id"), ds.cast("date").alias("__ds")).groupBy("__id", "__ds")
+            .agg(y.alias(Y)).withColumnsRenamed({"__id": ID, "__ds": DS}))
 
 
 def date_bounds(rows: DataFrame, ds: Column) -> tuple[date, date]:

@@ -14,11 +14,12 @@ from demandgrid.functions.core import (
 )
 from demandgrid.functions.moments import pair_correlations
 from demandgrid.functions.quantiles import exact_quantiles, series_quantile
-from demandgrid.session import cut_lineage
+from demandgrid.operators.similarity import top_similar
 
 # Class borders of the ADI / CV-squared scheme.
 ADI_BORDER, CV2_BORDER = 1.32, 0.49
 # Labels of the five price quantile bins, cheapest first.
+FEW_PRICES = "Fewer than five prices"
 PRICE_LABELS = ("Very Low", "Low", "Medium", "High", "Very High")
 
 
@@ -177,18 +178,13 @@ def series_summary(panel: DataFrame, key: str = ID, y: str = Y) -> DataFrame:
 
 
 def panel_summary(panel: DataFrame, key: str = ID, y: str = Y) -> DataFrame:
-    """One row over all series; series are counted after a per-series pre-aggregate."""
-    per = panel.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("ss"),
-        count_if(F.col(y) == 0).alias("z"), F.min(DS).alias("lo"), F.max(DS).alias("hi"))
-    n, s = F.sum("n"), F.sum("s")
-    return per.agg(
-        F.count(F.lit(1)).alias("n_series"), n.alias("n_rows"), s.alias("total"),
-        ratio(s, n).alias("mean"),
-        F.sqrt((F.sum("ss").cast("double") - s.cast("double") * s.cast("double") / n) / (n - 1)).alias("std"),
-        ratio(F.sum("z") * 100, n).alias("zero_percentage"),
-        F.min("lo").alias("first_day"), F.max("hi").alias("last_day"),
-        F.datediff(F.max("hi"), F.min("lo")).alias("span_days"))
+    """One row over all series.  Partial aggregation runs per series first, with mergeable moments, so a hot
+    series ships one row per task and large means do not cancel in the deviation."""
+    v, days = q(y), F.datediff(F.max(DS), F.min(DS))
+    return panel.agg(
+        F.countDistinct(q(key)).alias("n_series"), F.count(F.lit(1)).alias("n_rows"), F.sum(v).alias("total"),
+        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), percent(v == 0).alias("zero_percentage"),
+        F.min(DS).alias("first_day"), F.max(DS).alias("last_day"), days.alias("span_days"))
 
 
 def monthly_mean(panel: DataFrame, key: str = ID, y: str = Y) -> DataFrame:
@@ -292,10 +288,10 @@ def daily_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def price_stats(df: DataFrame, price: str = "sell_price") -> DataFrame:
     """On-sale and off-sale rows with shares; mean, median, min and max of prices on sale.
 
-    Rows collapse to distinct prices, written once; every figure is read off that table.
+    Rows collapse to distinct prices; every figure is read off those.
     """
     p, n = F.col("__p"), F.col("n")
-    counts = cut_lineage(df.groupBy(q(price).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("n")))
+    counts = df.groupBy(q(price).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("n"))
     on, off = p > 0, p == 0
     n_on = F.coalesce(F.sum(F.when(on, n)), F.lit(0))
     n_off = F.coalesce(F.sum(F.when(off, n)), F.lit(0))
@@ -322,17 +318,18 @@ def price_correlation(df: DataFrame, y: str = Y, available_only: bool = False) -
 def price_bins(df: DataFrame, price: str = "sell_price", y: str = Y) -> DataFrame:
     """Mean demand per price fifth (right-closed quantile bins over rows on sale).
 
-    Empty when fewer than five distinct prices exist.
+    Fewer than five distinct prices have no fifths: all rows are then one bin that says so.
     """
-    # demand collapses by price first, written once: edges and bins work on distinct prices only
-    by_price = cut_lineage(df.where(q(price) > 0).groupBy(q(price).cast("double").alias("__p"))
-                           .agg(F.sum(y).alias("s"), F.count(y).alias("n"), F.count(F.lit(1)).alias("rows")))
+    # demand collapses by price first: edges and bins work on distinct prices only
+    by_price = (df.where(q(price) > 0).groupBy(q(price).cast("double").alias("__p"))
+                .agg(F.sum(y).alias("s"), F.count(y).alias("n"), F.count(F.lit(1)).alias("rows")))
     edges = exact_quantiles(by_price, "__p", [0.2, 0.4, 0.6, 0.8], weight="rows").select(
         F.struct("q", "n_distinct")).scalar()
     label = F.lit(PRICE_LABELS[4])
     for i in (3, 2, 1, 0):
         label = F.when(F.col("__p") <= edges["q"][i], PRICE_LABELS[i]).otherwise(label)
-    return (by_price.where(edges["n_distinct"] >= 5).groupBy(label.alias("price_bin"))
+    label = F.when(edges["n_distinct"] < len(PRICE_LABELS), FEW_PRICES).otherwise(label)
+    return (by_price.groupBy(label.alias("price_bin"))
             .agg(ratio(F.sum("s"), F.sum("n")).alias("mean_y"), F.sum("n").alias("n_rows")))
 
 
@@ -396,23 +393,32 @@ def residual_stats(long: DataFrame, y: str = Y, y_hat: str = "y_hat") -> DataFra
 
 def histogram(df: DataFrame, col: str, bins: int = 30, lo: float | None = None,
               hi: float | None = None) -> DataFrame:
-    """Equal-width bins, the last one closed on the right.  Bounds default to the data's."""
+    """Equal-width bins, the last one closed on the right.  Bounds default to the data's, fetched in one aggregate.
+
+    No value is lost: those under given bounds are bin -1, those over them (NaN too) bin ``bins``, each with
+    one open side (NULL).
+    """
     v = q(col).cast("double")
     src = df.where(v.isNotNull())
-    lo_c = F.lit(float(lo)) if lo is not None else src.agg(F.min(v).alias("m")).scalar()
-    hi_c = F.lit(float(hi)) if hi is not None else src.agg(F.max(v).alias("m")).scalar()
+    if lo is None or hi is None:
+        ends = src.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias("ends")).scalar()
+    lo_c = F.lit(float(lo)) if lo is not None else ends["lo"]
+    hi_c = F.lit(float(hi)) if hi is not None else ends["hi"]
     width = (hi_c - lo_c) / bins
-    place = F.when(width == 0, 0).otherwise(F.least(F.floor(F.try_divide(v - lo_c, width)), F.lit(bins - 1)))
-    return (src.where(v.between(lo_c, hi_c)).groupBy(place.cast("int").alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select("bin", (lo_c + F.col("bin") * width).alias("bin_from"),
-                    (lo_c + (F.col("bin") + 1) * width).alias("bin_to"), "n"))
+    place = (F.when(v < lo_c, -1).when(v > hi_c, bins).when(width == 0, 0)
+             .otherwise(F.least(F.floor(F.try_divide(v - lo_c, width)), F.lit(bins - 1))))
+    at = F.col("bin")
+    return (src.groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+            .select("bin", F.when(at >= 0, lo_c + at * width).alias("bin_from"),
+                    F.when(at < bins, lo_c + (at + 1) * width).alias("bin_to"), "n"))
 
 
 def log_histogram(df: DataFrame, col: str, bins: int = 99, lo_exp: float = 0.0,
                   hi_exp: float = 6.0) -> DataFrame:
-    """Bins equally wide in log10 between 10^lo_exp and 10^hi_exp."""
-    logged = df.where(q(col) > 0).select(F.log10(q(col).cast("double")).alias("__l"))
+    """Bins equally wide in log10 between 10^lo_exp and 10^hi_exp; what lies outside has the bins -1 (zero and
+    negative values as well) and ``bins``."""
+    v = q(col).cast("double")
+    logged = df.select(F.when(v > 0, F.log10(v)).when(v <= 0, float("-inf")).alias("__l"))
     h = histogram(logged, "__l", bins, lo_exp, hi_exp)
     return h.select("bin", F.pow(F.lit(10.0), "bin_from").alias("bin_from"),
                     F.pow(F.lit(10.0), "bin_to").alias("bin_to"), "n")
@@ -468,20 +474,27 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
                  F.coalesce(F.sum(F.when(~inside, F.col("__n"))), F.lit(0)).alias("outliers")))
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str], few: int = 6) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair, long form (a, b, r) with a before b.
 
-    A few columns are plain aggregates of one scan; more would pass the limits of generated
-    code, so their sums of products are gathered as matrices, still in one scan.
+    Sums of products are gathered as small matrices in one scan, for any number of columns.
+    """
+    return pair_correlations(df, cols)
+
+
+def correlated_series(panel: DataFrame, n: int = 5, key: str = ID, y: str = Y) -> DataFrame:
+    """The n most correlated other series of each series: the key, other_id, r, rank.
+
+    On a gap-free panel Pearson's r is the cosine of the centred series, so the block products of
+    :func:`top_similar` give it for any number of series without a column or a row per pair.
+    Constant series have no correlation and are left out.
     """
-    cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    if len(cols) > few:
-        return pair_correlations(df, cols)
-    row = df.agg(*[correlation(q(a), q(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-                      for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(cells).alias("c")).select("c.a", "c.b", "c.r")
+    whole = Window.partitionBy(key)
+    centred = (panel.where(q(y).isNotNull()).withColumn("__c", q(y).cast("double") - F.avg(q(y).cast("double")).over(whole))
+               .withColumn("__v", F.max(F.abs("__c")).over(whole)).where(F.col("__v") > 0))
+    near = top_similar(centred.select(q(key).alias(ID), DS, F.col("__c").alias(Y)), n)
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("similarity")))
+    return near.select(F.col(ID).alias(key), F.col("similar_id").alias("other_id"), r.alias("r"), "rank")
 
 
 def strong_pairs(corr: DataFrame, border: float = 0.7) -> DataFrame:

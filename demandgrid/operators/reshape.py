@@ -111,11 +111,8 @@ def id_positions(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     return {c: df.columns.index(c) for c in cols}
 
 
-def series_to_columns(panel: DataFrame, names: Sequence[str], key: str = ID, y: str = Y,
-                      most: int = 200) -> DataFrame:
+def series_to_columns(panel: DataFrame, names: Sequence[str], key: str = ID, y: str = Y) -> DataFrame:
     """One row per date, one column per listed series (mean of y)."""
-    if len(names) > most:
-        raise ValueError(f"{len(names)} series as columns; choose at most {most}")
     return (panel.where(q(key).isin(list(names))).groupBy(DS)
             .pivot(key, list(names)).agg(F.avg(y)))
 

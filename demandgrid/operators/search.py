@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandgrid.functions.core import Y, ratio, stack
+from demandgrid.session import cut_lineage
 from demandgrid.operators.backtest import Windows
 from demandgrid.operators.boosting import tweedie_backtest
 from demandgrid.operators.regression import (
@@ -88,8 +89,10 @@ def random_search(panel: DataFrame, windows: Windows, model: str = "Ridge", n_tr
                 scored = part if scored is None else scored.unionByName(part)
     rows = [(t["trial"], t["model"], json.dumps(t["lags"]), json.dumps(t["rolling"]), json.dumps(t["params"])) for t in trials]
     table = spark.createDataFrame(rows, TRIAL_SCHEMA)
-    return (table.join(scored.withColumn("trial", F.substring("name", 2, 9).cast("int")).drop("name"), "trial")
-            .withColumn("score_name", F.lit(score)).withColumn("score", F.col(score)).orderBy("score", "trial"))
+    ranked = (table.join(scored.withColumn("trial", F.substring("name", 2, 9).cast("int")).drop("name"), "trial")
+              .withColumn("score_name", F.lit(score)).withColumn("score", F.col(score)).orderBy("score", "trial"))
+    # written once: picking the best trial and saving the table must not forecast again
+    return cut_lineage(ranked)
 
 
 def best_trial(results: DataFrame) -> dict | None:

@@ -50,8 +50,12 @@ def top_similar(panel: DataFrame, n: int = 5, within: Column | None = None, bloc
                    F.unix_date(DS).alias("d"), F.col(Y).cast("double").alias("v")))).alias("__c"))
                .select("__g", ID, F.transform("__c", lambda c: c["d"]).alias("days"),
                        F.transform("__c", lambda c: c["v"]).alias("vals")))
-    blocks = vectors.groupBy("__g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__nb"))
-    sized = vectors.join(blocks, "__g").withColumn("__b", F.pmod(F.xxhash64(ID), F.col("__nb")).cast("int"))
+    n_blocks = F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__nb")
+    # series are counted on their ids, before gaps are filled; a single group is no join
+    ids = panel.select(group.alias("__g"), ID).distinct()
+    sized = (vectors.withColumn("__nb", ids.agg(n_blocks).scalar()) if within is None
+             else vectors.join(ids.groupBy("__g").agg(n_blocks), "__g"))
+    sized = sized.withColumn("__b", F.pmod(F.xxhash64(ID), F.col("__nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("__nb") - 1))
     placed = (sized.withColumn("__o", other)
               .select("__g", F.least("__b", "__o").alias("__p"), F.greatest("__b", "__o").alias("__q"),

@@ -43,9 +43,10 @@ def prepare_sales(sales: DataFrame, calendar: DataFrame, dept: str | None, store
     arrays = reshape.where_mean_between(arrays, *mean_band)
     bounds = {r["date"]: r["d"] for r in calendar.where(
         F.col("date").isin(str(test_from), str(end))).select(F.col("date").cast("string"), "d").collect()}
+    if missing := sorted({str(test_from), str(end)} - bounds.keys()):
+        raise ValueError(f"the calendar has no day {', '.join(missing)}; test_from and end have to be in it")
     arrays = reshape.where_quantile_positive(arrays, codes, bounds[str(test_from)], bounds[str(end)], quantile)
-    parts = int(sales.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    arrays = reshape.make_id(arrays, keys).repartition(parts, "unique_id")
+    arrays = reshape.make_id(arrays, keys).repartition(F.col("unique_id"))
     long = cal_ops.code_to_date(reshape.explode_days(arrays, codes), calendar).withColumnRenamed("date", DS)
     long = intervals.periods_since_last_zero(intervals.periods_since_last_sale(long))
     return (long.where(F.col(DS).between(cal_ops.lag_padded_start(start, max_lag), day(end)))

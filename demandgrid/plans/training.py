@@ -61,7 +61,7 @@ def train_and_evaluate(panel: DataFrame, windows: Windows, models: Sequence[str]
         else:
             out, fitted = tweedie_backtest(panel, used, windows, **values)
             imp = split_importance(panel, used, fitted, folds)
-        preds = combine_predictions(out, preds.withColumn(Y, F.col(Y).cast("double")))
+        preds = combine_predictions(cut_lineage(out), preds.withColumn(Y, F.col(Y).cast("double")), check=True)
         imp = importance_summary(imp).select(F.lit(model).alias("model"), "*")
         importance = imp if importance is None else importance.unionByName(imp)
     names = [*models, *BASELINES]

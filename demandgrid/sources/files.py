@@ -32,7 +32,10 @@ def _header(spark: SparkSession, path: str) -> list[str]:
 
 
 def _csv(spark: SparkSession, path: str, typed: Mapping[str, T.DataType],
-         other: T.DataType, prefixes: Mapping[str, T.DataType] | None = None) -> DataFrame:
+         other: T.DataType, prefixes: Mapping[str, T.DataType] | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+    """Columns are checked against every file's header, so files with another order are refused, not misread;
+    ``mode='FAILFAST'`` also refuses cells that don't parse, which are NULL otherwise."""
+
     def of(name: str) -> T.DataType:
         for p, t in (prefixes or {}).items():
             if name.startswith(p):
@@ -41,21 +44,21 @@ def _csv(spark: SparkSession, path: str, typed: Mapping[str, T.DataType],
 
     schema = T.StructType([T.StructField(c, of(c)) for c in _header(spark, path)])
     # wide sales rows hold a day per column; the parser's default stops at 20,480
-    return spark.read.csv(path, header=True, schema=schema, dateFormat="yyyy-MM-dd",
+    return spark.read.csv(path, header=True, schema=schema, dateFormat="yyyy-MM-dd", enforceSchema=False, mode=mode,
                           maxColumns=max(20480, len(schema) + 1))
 
 
-def read_calendar(spark: SparkSession, path: str) -> DataFrame:
+def read_calendar(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     df = (spark.read.parquet(path) if _is_parquet(path) else
-          _csv(spark, path, CALENDAR_TYPES, T.StringType(), {"snap_": T.IntegerType()}))
+          _csv(spark, path, CALENDAR_TYPES, T.StringType(), {"snap_": T.IntegerType()}, mode))
     require(df, ["d", "date"], "calendar")
     return df.withColumn("date", F.to_date("date"))
 
 
 def read_sales_wide(spark: SparkSession, path: str, ids: Sequence[str] = ("store_id", "item_id"),
-                    prefix: str = "d_") -> DataFrame:
+                    prefix: str = "d_", mode: str = "PERMISSIVE") -> DataFrame:
     df = (spark.read.parquet(path) if _is_parquet(path) else
-          _csv(spark, path, {}, T.StringType(), {prefix: T.IntegerType()}))
+          _csv(spark, path, {}, T.StringType(), {prefix: T.IntegerType()}, mode))
     require(df, ["dept_id", "store_id", *ids], "sales")
     return df
 
@@ -79,7 +82,7 @@ def read_panel(spark: SparkSession, path: str, schema: T.StructType | str | None
     if _is_parquet(path):
         df = spark.read.parquet(path)
     elif schema is not None:
-        df = spark.read.csv(path, header=True, schema=schema)
+        df = spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
     else:
         df = spark.read.csv(path, header=True, inferSchema=True)
     for name in DATE_NAMES:

@@ -28,10 +28,15 @@ def _moved(linked: DataFrame, counts: dict[int, int], quota: list[int], turn: in
     open_ = [s for s, r in enumerate(room) if r > 0.01 * quota[s]]
     if not open_:
         return linked, 0
-    held = (linked.where(F.col("label").isin(open_)).groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("g").agg(F.max(F.struct("n", F.xxhash64("g", "label").alias("tie"), "label"))["label"].alias("to")))
-    asked = linked.join(held, "g", "left").withColumn(
-        "to", F.when(F.col("label").isin(open_), F.coalesce("to", "label")).otherwise(F.col("label")))
+    is_open = F.col("label").isin(open_)
+    cells = linked.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = cells.groupBy("g").agg(  # a cell per shard at most
+        F.collect_list(F.struct("label", "n")).alias("cells"),
+        F.max(F.when(is_open, F.struct("n", F.xxhash64("g", "label").alias("tie"), "label"))).alias("best"))
+    own = F.filter("cells", lambda c: c["label"] == F.col("label"))[0]["n"]
+    # a full shard is left for an open one that holds as many; the best open one is no worse than any open one
+    asked = linked.join(groups, "g").withColumn("to", F.when(F.col("best.n") >= own, F.col("best.label"))
+                                                .otherwise(F.col("label"))).drop("cells", "best")
     asked = materialise(asked)
     wishes = {r["to"]: r["n"] for r in asked.where(F.col("to") != F.col("label")).groupBy("to")
               .agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -51,11 +56,12 @@ def shard(df: DataFrame, *, key: str = "doc_id", text: str = "text", n_shards: i
         F.col(key).alias("k"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("crc"),
         F.md5(t).alias("g"), F.md5(F.concat_ws(" ", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(t))).alias("h")))
     rows = rows.withColumn("label", F.pmod(F.xxhash64("h"), F.lit(n_shards)).cast("int"))
-    groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("g")
-    groups = materialise(groups)
-    linked = materialise(rows.join(groups, "g", "left_semi").select("k", "size", "crc", "g", "h", "label"))
+    groups = materialise(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
     total = rows.count()
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
+    # members of groups larger than a shard, which are cut anyway, come last: a full shard gives those away first
+    late = F.concat(F.when(F.col("n") > quota[-1], "f").otherwise("0"), F.col("h"))
+    linked = materialise(rows.join(groups, "g").select("k", "size", "crc", "g", late.alias("h"), "label"))
 
     def load() -> dict[int, int]:
         return {r["label"]: r["n"] for r in linked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}

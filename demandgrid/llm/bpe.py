@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 SEGMENT = 1 << 20        # characters of a text that are split at once
 LONG_PIECE = 64          # bytes; from here on a pre-token has a queue of its own
-PART = 1 << 23           # characters of a batch whose pre-tokens share a queue
+PART = 1 << 24           # characters of a batch whose pre-tokens share a queue
 REMEMBERED = 1 << 18     # pre-tokens, and stretches, a worker keeps from part to part
+FORGOTTEN_AFTER = 64     # parts, so that memory follows the texts
 BLANK_BEFORE_SPACE = re.compile(r"\s ")
 AFTER_INK = re.compile(r"(?<=\S)(?= )")
 BITS = [1 << i for i in range(256)]
@@ -77,6 +78,7 @@ class Vocabulary:
         self.bytes = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         self.pieces: dict[str, bytes] = {}
         self.stretches: dict[str, bytes] = {}
+        self.parts = 0
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token, by a queue of its own."""
@@ -235,9 +237,12 @@ class Vocabulary:
         for x in new:
             if "\n" in x or len(x) >= LONG_PIECE:
                 del self.stretches[x]
+        self.parts += 1
         for memory in (self.stretches, self.pieces):
-            if len(memory) > REMEMBERED:
-                for x in list(islice(memory, len(memory) - REMEMBERED // 2)):
+            if self.parts % FORGOTTEN_AFTER == 0:
+                memory.clear()
+            elif len(memory) > REMEMBERED:  # frequent ones came first
+                for x in list(islice(memory, REMEMBERED, None)):
                     del memory[x]
         return result
 

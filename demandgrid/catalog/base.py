@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandgrid.functions.core import DS, ID, Y, round_doubles
@@ -82,15 +82,19 @@ def panel(spark: SparkSession, sf_dir: str, level: str = "region") -> DataFrame:
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lo, hi = span(spark, sf_dir)
-    return calendar_between(spark, lo, hi)
+    """Every day between the first and the last shipment, read off the table within the same plan."""
+    shipped = F.col("l_shipdate").cast("date")
+    ends = table(spark, sf_dir, "lineitem").agg(F.min(shipped).alias("__lo"), F.max(shipped).alias("__hi"))
+    return _calendar(ends.select("__lo", F.explode(F.sequence("__lo", "__hi")).alias(DS)), F.col("__lo"))
 
 
 def calendar_between(spark: SparkSession, lo: date, hi: date) -> DataFrame:
+    return _calendar(daily_dates(spark, lo, hi), F.lit(str(lo)).cast("date"))
+
+
+def _calendar(cal: DataFrame, first: Column) -> DataFrame:
     monday = F.lit("1995-01-02").cast("date")
     md = F.date_format(DS, "MM-dd")
-    cal = daily_dates(spark, lo, hi)
-    first = F.lit(str(lo)).cast("date")
     named = F.when(md == "12-25", "Christmas").when(md == "01-01", "NewYear") \
         .when(md == "07-04", "IndependenceDay").when(md == "02-14", "ValentinesDay")
     second = F.when(md == "12-25", "Religious").when(

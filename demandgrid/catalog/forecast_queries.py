@@ -154,20 +154,116 @@ def ridge_backtest(spark, sf):
     return r.ridge_backtest(with_snap(spark, sf), FULL, WINDOWS, 1.0)[0]
 
 
+_AHEAD = """
+SELECT unique_id, CAST(ds + CAST(k AS INTEGER) AS DATE) AS ds, ds AS cutoff, round(pow(b, k) * y + a * (1 - pow(b, k)) / (1 - b), 6) AS "Ridge"
+FROM pos, fit, (SELECT unnest(range(1, 15)) AS k) WHERE p = n"""
+_FIT_ALL = POS_CTE + """,
+fit AS (SELECT b, my - b * mx AS a FROM (SELECT count(*) * covar_pop(y, x) / (count(*) * var_pop(x) + 5000) AS b, avg(y) AS my, avg(x) AS mx
+  FROM (SELECT *, lag(y) OVER (PARTITION BY unique_id ORDER BY ds) AS x FROM panel) WHERE x IS NOT NULL))"""
+
+
+@query("ridge_forecast_one_lag", with_panel(_AHEAD, more=_FIT_ALL))
+def ridge_forecast_one_lag(spark, sf):
+    """Fourteen days past the end of every series."""
+    return r.ridge_forecast(b.panel(spark, sf), ONE_LAG, 14, 5000.0)[0]
+
+
+@query("saved_forecaster", with_panel(_AHEAD, more=_FIT_ALL))
+def saved_forecaster(spark, sf):
+    """The same by a model that was saved and loaded."""
+    panel, path = b.panel(spark, sf), scratch(spark)
+    model = r.solve_ridge(r.products(r.lag_frame(panel, ONE_LAG), ONE_LAG).by_segment[0], ONE_LAG, 5000.0)
+    files.save_fitted(spark, {0: model}, ONE_LAG, path)
+    models, spec = files.load_fitted(spark, path)
+    return r.forecast(panel, spec, 14, {"Ridge": r.linear_predictor(models)})
+
+
+WIDE = r.LagSpec(lags=(1, 7), rolling=(7,))
+
+
+def _zeros(columns: list[str]) -> str:
+    """Optimality conditions hold: zero for each window and feature."""
+    return " UNION ALL ".join(f"SELECT {i} AS \"window\", '{c}' AS feature, 0.0::DOUBLE AS residual" for i in range(3) for c in columns)
+
+
+def _residuals(frame, spec, models, penalty, digits):
+    """Per window and feature the mean of (y - prediction) x feature, less the penalty's share."""
+    out = None
+    for i, m in models.items():
+        eta = F.lit(float(m.intercept))
+        for c, w in zip(spec.features(), m.raw):
+            eta = eta + F.lit(float(w)) * F.col(c)
+        gap = F.col(Y) - (F.exp(eta) if m.link == "log" else eta)
+        names = ["intercept", *spec.features()]
+        parts = [F.avg(gap)] + [F.avg(gap * F.col(c)) - F.lit(penalty * float(w)) / F.count(F.lit(1))
+                                for c, w in zip(spec.features(), m.raw)]
+        cells = F.array(*[F.struct(F.lit(i).alias("window"), F.lit(n).alias("feature"),
+                                   (F.round(x, digits) + 0.0).alias("residual")) for n, x in zip(names, parts)])
+        one = frame.where(F.col("segment") >= i).agg(cells.alias("c")).select(F.inline("c"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("ridge_normal_equations", _zeros(["intercept", *WIDE.features()]))
+def ridge_normal_equations(spark, sf):
+    """The fitted ridge solves its normal equations, recomputed from the rows, in every window."""
+    frame = r.lag_frame(b.panel(spark, sf), WIDE, WINDOWS)
+    models = r.fit_ridge_windows(r.products(frame, WIDE), WINDOWS, 10.0)
+    return _residuals(frame, WIDE, models, 10.0, 6)
+
+
+@query("poisson_score_equations", _zeros(["intercept", *WIDE.features()]))
+def poisson_score_equations(spark, sf):
+    """The fitted Poisson regression solves its score equations in every window."""
+    panel = b.panel(spark, sf)
+    return _residuals(r.lag_frame(panel, WIDE, WINDOWS), WIDE, r.poisson_backtest(panel, WIDE, WINDOWS)[1], 0.0, 3)
+
+
+@query("per_series_function", with_panel("""
+SELECT unique_id, count(*) AS n, CAST(max(y) - min(y) AS DOUBLE) AS span FROM panel GROUP BY 1"""))
+def per_series_function(spark, sf):
+    """A user's pandas function over one series at a time."""
+    import pandas as pd
+    return r.apply_per_series(b.panel(spark, sf), lambda pdf: pd.DataFrame(
+        {ID: [pdf[ID].iloc[0]], "n": [len(pdf)], "span": [float(pdf[Y].max() - pdf[Y].min())]}),
+        f"{ID} string, n bigint, span double")
+
+
 @query("local_poisson_backtest")
 def local_poisson_backtest(spark, sf):
-    return r.local_backtest(b.panel(spark, sf), r.LagSpec(lags=(1, 7), rolling=(7,), month=False), Windows(28, 1), "poisson", 1.0)
+    return r.local_backtest(b.panel(spark, sf), WIDE, WINDOWS, "poisson", 1.0)
 
 
 @query("global_poisson_backtest")
 def global_poisson_backtest(spark, sf):
-    return r.poisson_backtest(b.panel(spark, sf), r.LagSpec(lags=(1, 7), rolling=(7,), month=False), Windows(28, 1))[0]
+    return r.poisson_backtest(b.panel(spark, sf), WIDE, WINDOWS)[0]
+
+
+TREES = r.LagSpec(lags=(1, 7), rolling=(7, 28))
 
 
 @query("tweedie_trees_backtest")
 def tweedie_trees_backtest(spark, sf):
-    spec = r.LagSpec(lags=(1, 7), rolling=(7, 28))
-    return boosting.tweedie_backtest(b.panel(spark, sf), spec, Windows(28, 1), n_rounds=6, rate=0.3, depth=3)[0]
+    """Default settings: up to 100 rounds, all windows."""
+    return boosting.tweedie_backtest(b.panel(spark, sf), TREES, WINDOWS)[0]
+
+
+@query("tweedie_trees_forecast")
+def tweedie_trees_forecast(spark, sf):
+    return boosting.tweedie_forecast(b.panel(spark, sf), TREES, 14)[0]
+
+
+@query("tree_importance_by_fold")
+def tree_importance_by_fold(spark, sf):
+    """Split counts by fold."""
+    panel = b.panel(spark, sf)
+    fitted = boosting.tweedie_backtest(panel, TREES, WINDOWS)[1]
+    return boosting.split_importance(panel, TREES, fitted, r.fold_names(panel, WINDOWS))
+
+
+@query("tree_random_search")
+def tree_random_search(spark, sf):
+    return search.random_search(b.panel(spark, sf), Windows(28, 2), "TweedieGBT", n_trials=2)
 
 
 @query("ridge_importance_by_fold")
@@ -180,10 +276,10 @@ def ridge_importance_by_fold(spark, sf):
 
 @query("ridge_random_search")
 def ridge_random_search(spark, sf):
-    return search.random_search(b.panel(spark, sf), Windows(28, 2), "Ridge", n_trials=8).drop("params")
+    return search.random_search(b.panel(spark, sf), Windows(28, 2), "Ridge", n_trials=20)
 
 
 @query("train_and_evaluate")
 def train_and_evaluate_query(spark, sf):
-    """Search, refit, baselines and all metrics of the pooled ridge model."""
-    return train_and_evaluate(b.panel(spark, sf), Windows(28, 2), ["Ridge"], n_trials=4).metrics
+    """Search, refit, baselines and all metrics of the pooled ridge and the boosted trees."""
+    return train_and_evaluate(b.panel(spark, sf), Windows(28, 2), n_trials=2).metrics

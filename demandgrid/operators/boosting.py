@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from demandgrid.functions.core import Y
 from demandgrid.operators.backtest import Windows
-from demandgrid.operators.regression import LagSpec, Predictor, lag_frame, recursive_backtest
+from demandgrid.operators.regression import LagSpec, Predictor, forecast, lag_frame, recursive_backtest
 from demandgrid.session import cut_lineage
 
 
@@ -89,8 +89,12 @@ class TweedieEnsemble:
 
 
 def fit_tweedie(rows: DataFrame, power: float = 1.5, n_rounds: int = 100, rate: float = 0.1, depth: int = 5,
-                max_bins: int = 32, checkpoint_every: int = 5, seed: int = 42) -> TweedieEnsemble:
-    """Boost on rows (features vector, y).  Loss per round is kept; lineage is cut regularly."""
+                max_bins: int = 32, checkpoint_every: int = 5, seed: int = 42, tolerance: float = 1e-3) -> TweedieEnsemble:
+    """Boost on rows (features vector, y).
+
+    Every ``checkpoint_every`` rounds the lineage is cut and the loss taken; boosting ends early when the loss has
+    fallen by no more than ``tolerance`` (a share of it) since the last time, as more rounds would only add cost.
+    """
     if not 1 < power < 2:
         raise ValueError("power must lie strictly between 1 and 2")
     mean = rows.agg(F.avg(Y)).first()[0]
@@ -109,12 +113,16 @@ def fit_tweedie(rows: DataFrame, power: float = 1.5, n_rounds: int = 100, rate:
         model = grower.fit(step)
         out.trees.append(Tree.of(model))
         state = model.transform(state).select("features", Y, (f + rate * F.col("leaf")).alias("f"))
-        if (r + 1) % checkpoint_every == 0 and r + 1 < n_rounds:
-            state = cut_lineage(state)
-        else:
+        if (r + 1) % checkpoint_every and r + 1 < n_rounds:
             state = state.persist()
             held.append(state)
-        out.losses.append(state.agg(F.avg(loss)).first()[0])
+        else:
+            state = cut_lineage(state) if r + 1 < n_rounds else state
+            now = state.agg(F.avg(loss)).first()[0]
+            flat = bool(out.losses) and out.losses[-1] - now <= tolerance * abs(now)
+            out.losses.append(now)
+            if flat:
+                break
         while len(held) > 2:
             held.pop(0).unpersist()
     for s in held:
@@ -141,6 +149,18 @@ def tweedie_backtest(panel: DataFrame, spec: LagSpec, windows: Windows, name: st
     return recursive_backtest(panel, spec, windows, {name: ensemble_predictor(models)}), models
 
 
+def tweedie_forecast(panel: DataFrame, spec: LagSpec, h: int, future: DataFrame | None = None,
+                     name: str = "TweedieGBT", **params) -> tuple[DataFrame, TweedieEnsemble]:
+    """Pooled boosted trees on the whole panel: the next h days, and the ensemble."""
+    frame = VectorAssembler(inputCols=spec.features(), outputCol="features").transform(
+        lag_frame(panel, spec)).select(Y, "features").persist()
+    try:
+        model = fit_tweedie(frame, **params)
+    finally:
+        frame.unpersist()
+    return forecast(panel, spec, h, {name: ensemble_predictor({0: model})}, future), model
+
+
 def split_importance(panel: DataFrame, spec: LagSpec, models: Mapping[int, TweedieEnsemble],
                      folds: Mapping[int, str]) -> DataFrame:
     """Number of splits per feature and fold: (feature, fold, value)."""

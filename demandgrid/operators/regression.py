@@ -150,6 +150,7 @@ class Linear:
     scaled_intercept: float
     scaled: np.ndarray
     link: str = "identity"
+    converged: bool = True
 
     def predict(self, x: np.ndarray, price_on: np.ndarray) -> np.ndarray:
         eta = self.intercept + x @ self.raw + self.price_on * price_on
@@ -289,6 +290,11 @@ def _flat(win: DataFrame, spec: LagSpec) -> DataFrame:
 
 def recursive_backtest(panel: DataFrame, spec: LagSpec, windows: Windows, models: Mapping[str, Predictor]) -> DataFrame:
     """Predictions of each model over all windows: unique_id, ds, cutoff, y, one column per model."""
+    return _rolled(_flat(forecast_windows(panel, spec, windows), spec), spec, models)
+
+
+def _rolled(flat: DataFrame, spec: LagSpec, models: Mapping[str, Predictor]) -> DataFrame:
+    """The recursion over prepared rows, Arrow batch by Arrow batch."""
     names = list(models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -312,10 +318,41 @@ def recursive_backtest(panel: DataFrame, spec: LagSpec, windows: Windows, models
             yield frame
 
     schema = f"{ID} string, {DS} date, cutoff date, {Y} double, " + ", ".join(f"`{n}` double" for n in names)
-    out = _flat(forecast_windows(panel, spec, windows), spec).mapInPandas(run, schema)
+    out = flat.mapInPandas(run, schema)
     return out.withColumns({n: F.when(~F.isnan(q(n)), q(n)) for n in names})
 
 
+def forecast(panel: DataFrame, spec: LagSpec, h: int, models: Mapping[str, Predictor],
+             future: DataFrame | None = None) -> DataFrame:
+    """The h days after each series' end: unique_id, ds, cutoff, one column per model.
+
+    ``future`` holds the columns known ahead (``spec.known``) by date, or by series and date.  The recursion is the
+    one of the backtests; models are asked for window 0.  A day whose known columns are missing, and what follows
+    it, is NULL, as are series shorter than the features need.
+    """
+    if spec.known and future is None:
+        raise ValueError(f"the model needs the future of {spec.known}")
+    df, last = panel, []
+    if spec.counters:
+        df = intervals.periods_since_last_zero(intervals.periods_since_last_sale(df, name="__a"), name="__b")
+        last = ["__a", "__b"]
+    back = F.row_number().over(Window.partitionBy(ID).orderBy(F.desc(DS)))
+    ends = (df.withColumn("__back", back).where(F.col("__back") <= spec.tail).groupBy(ID)
+            .agg(F.max(DS).alias("cutoff"), *[F.max_by(q(c), DS).alias(f"last_{i}") for i, c in enumerate(last)],
+                 F.sort_array(F.collect_list(F.struct(F.col(DS), q(Y).cast("double").alias(Y)))).alias("__past")))
+    ends = ends.select(ID, "cutoff", *[f"last_{i}" for i in range(len(last))],
+                       F.transform("__past", lambda s: s[Y]).alias("tail"))
+    days = ends.withColumn(DS, F.explode(F.sequence(F.date_add("cutoff", 1), F.date_add("cutoff", h))))
+    if spec.known:
+        keys = [c for c in (ID, DS) if c in future.columns]
+        days = days.join(future.select(*keys, *[q(c).cast("double").alias(c) for c in spec.known]), keys, "left")
+    cell = F.struct(F.col(DS), F.lit(None).cast("double").alias(Y), *[q(c) for c in spec.known])
+    same = ["cutoff", "tail", *[f"last_{i}" for i in range(len(last))]]
+    win = (days.groupBy(ID).agg(*[F.first(c).alias(c) for c in same], F.sort_array(F.collect_list(cell)).alias("test"))
+           .withColumn("window", F.lit(0)))
+    return _rolled(_flat(win, spec), spec, models).drop(Y)
+
+
 def linear_predictor(models: Mapping[int, Linear]) -> Predictor:
     return lambda window, x, on: models[window].predict(x, on)
 
@@ -327,21 +364,39 @@ def ridge_backtest(panel: DataFrame, spec: LagSpec, windows: Windows, alpha: flo
     return recursive_backtest(panel, spec, windows, {name: linear_predictor(models)}), models
 
 
+def ridge_forecast(panel: DataFrame, spec: LagSpec, h: int, alpha: float = 1.0, future: DataFrame | None = None,
+                   name: str = "Ridge") -> tuple[DataFrame, Linear]:
+    """Pooled ridge on the whole panel: the next h days, and the fitted model."""
+    model = solve_ridge(products(lag_frame(panel, spec), spec).by_segment[0], spec, alpha)
+    return forecast(panel, spec, h, {name: linear_predictor({0: model})}, future), model
+
+
+def poisson_forecast(panel: DataFrame, spec: LagSpec, h: int, reg: float = 0.0, future: DataFrame | None = None,
+                     name: str = "Poisson") -> tuple[DataFrame, Linear]:
+    """Pooled Poisson regression on the whole panel: the next h days, and the fitted model."""
+    frame = VectorAssembler(inputCols=spec.features(), outputCol="features").transform(lag_frame(panel, spec))
+    model = _glm(frame.select(Y, "features"), reg)
+    return forecast(panel, spec, h, {name: linear_predictor({0: model})}, future), model
+
+
+def _glm(rows: DataFrame, reg: float) -> Linear:
+    from pyspark.ml.regression import GeneralizedLinearRegression
+    fit = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="features", labelCol=Y,
+                                      regParam=reg).fit(rows)
+    coef = fit.coefficients.toArray()
+    return Linear(fit.intercept, coef, 0.0, fit.intercept, coef, link="log")
+
+
 def poisson_backtest(panel: DataFrame, spec: LagSpec, windows: Windows, reg: float = 0.0,
                      name: str = "Poisson") -> tuple[DataFrame, dict[int, Linear]]:
     """Pooled Poisson regression (log link) by the ML library, one fit per window."""
-    from pyspark.ml.regression import GeneralizedLinearRegression
-    feats = spec.features()
-    frame = VectorAssembler(inputCols=feats, outputCol="features").transform(
+    frame = VectorAssembler(inputCols=spec.features(), outputCol="features").transform(
         lag_frame(panel, spec, windows)).select("segment", Y, "features").persist()
-    glm = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="features", labelCol=Y, regParam=reg)
     models = {}
     try:
         for i in range(windows.n_windows):
             rows = frame.where(F.col("segment") >= i if windows.initial is None else F.col("segment") <= i)
-            fit = glm.fit(rows)
-            coef = fit.coefficients.toArray()
-            models[i] = Linear(fit.intercept, coef, 0.0, fit.intercept, coef, link="log")
+            models[i] = _glm(rows, reg)
     finally:
         frame.unpersist()
     return recursive_backtest(panel, spec, windows, {name: linear_predictor(models)}), models
@@ -377,14 +432,15 @@ def _fit_one(x: np.ndarray, y: np.ndarray, family: str, alpha: float) -> Linear:
         mu = np.exp(eta)
         if done:
             break
-    return Linear(beta[0], beta[1:], 0.0, beta[0], beta[1:], link="log")
+    return Linear(beta[0], beta[1:], 0.0, beta[0], beta[1:], link="log", converged=bool(done))
 
 
 def local_backtest(panel: DataFrame, spec: LagSpec, windows: Windows, family: str = "linear", alpha: float = 0.0,
                    name: str = "Local") -> DataFrame:
     """A separate linear or Poisson regression per series and window.
 
-    One series is one group, bounded by its days; series spread over the cluster.
+    One series is one group, bounded by its days; series spread over the cluster.  Windows with a full test part but
+    too little history for the features get NULL predictions, as in the pooled form; Poisson adds ``converged``.
     """
     if spec.counters or spec.price:
         raise ValueError("local models take lags, rolling statistics, calendar and exog columns")
@@ -400,21 +456,25 @@ def local_backtest(panel: DataFrame, spec: LagSpec, windows: Windows, family: st
         n, out = len(y), []
         for i in range(windows.n_windows):
             cut = n - h - i * windows.stride if windows.initial is None else windows.initial + i * windows.stride
-            if cut < t or cut + h > n:
+            if cut < 1 or cut + h > n:
                 continue
             ok = ~np.isnan(x[:cut]).any(axis=1)
-            if not ok.any():
-                continue
-            m = _fit_one(x[:cut][ok], y[:cut][ok], family, alpha)
-            hat = roll_forward(y[None, cut - t:cut], np.zeros((1, 2)), cal[None, cut:cut + h],
-                               known[None, cut:cut + h], spec, m.predict)
+            hat, done = np.full((1, h), np.nan), False
+            if cut >= t and ok.any():
+                m = _fit_one(x[:cut][ok], y[:cut][ok], family, alpha)
+                done = m.converged
+                hat = roll_forward(y[None, cut - t:cut], np.zeros((1, 2)), cal[None, cut:cut + h],
+                                   known[None, cut:cut + h], spec, m.predict)
             out.append(pd.DataFrame({ID: pdf[ID].iloc[0], DS: pdf[DS].to_numpy()[cut:cut + h],
-                                     "cutoff": pdf[DS].to_numpy()[cut - 1], Y: y[cut:cut + h], name: hat[0]}))
-        cols = [ID, DS, "cutoff", Y, name]
+                                     "cutoff": pdf[DS].to_numpy()[cut - 1], Y: y[cut:cut + h], name: hat[0],
+                                     "converged": done})[cols])
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=cols)
 
+    cols = [ID, DS, "cutoff", Y, name, *(["converged"] if family == "poisson" else [])]
+    kinds = f"{ID} string, {DS} date, cutoff date, {Y} double, `{name}` double"
     rows = panel.select(ID, DS, q(Y).cast("double").alias(Y), *[q(c).cast("double").alias(c) for c in spec.known])
-    return rows.groupBy(ID).applyInPandas(run, f"{ID} string, {DS} date, cutoff date, {Y} double, `{name}` double")
+    found = rows.groupBy(ID).applyInPandas(run, kinds + (", converged boolean" if family == "poisson" else ""))
+    return found.withColumn(name, F.when(~F.isnan(q(name)), q(name)))
 
 
 def apply_per_series(panel: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str,

@@ -18,7 +18,7 @@ from demandgrid.operators.regression import (
     LagSpec, fold_names, importance_summary, ridge_backtest, ridge_importance,
 )
 from demandgrid.operators.search import best_trial, chosen, random_search
-from demandgrid.sources.files import write_json
+from demandgrid.sources.files import save_fitted, write_json
 from demandgrid.session import cut_lineage
 
 BASELINES = ("Naive", "SeasonalNaive", "ZeroModel")
@@ -47,7 +47,7 @@ def train_and_evaluate(panel: DataFrame, windows: Windows, models: Sequence[str]
     panel = cut_lineage(panel.select(ID, DS, Y, *spec.known))
     preds = baseline_backtest(panel, windows)
     folds = fold_names(panel, windows)
-    trials, best, importance = {}, {}, None
+    trials, best, importance, models_fitted = {}, {}, None, {}
     for model in models:
         if n_trials:
             trials[model] = random_search(panel, windows, model, n_trials, seed, score, spec,
@@ -61,6 +61,7 @@ def train_and_evaluate(panel: DataFrame, windows: Windows, models: Sequence[str]
         else:
             out, fitted = tweedie_backtest(panel, used, windows, **values)
             imp = split_importance(panel, used, fitted, folds)
+        models_fitted[model] = (used, fitted)
         preds = combine_predictions(cut_lineage(out), preds.withColumn(Y, F.col(Y).cast("double")), check=True)
         imp = importance_summary(imp).select(F.lit(model).alias("model"), "*")
         importance = imp if importance is None else importance.unionByName(imp)
@@ -74,6 +75,8 @@ def train_and_evaluate(panel: DataFrame, windows: Windows, models: Sequence[str]
         preds.write.mode("overwrite").parquet(f"{base}/predictions.parquet")
         write_json(result.metrics, f"{base}/metrics.json")
         write_json(result.importance, f"{base}/importance.json")
+        for name, (used, fitted) in models_fitted.items():
+            save_fitted(panel.sparkSession, fitted, used, f"{base}/model_{name}.json")
         for name, t in trials.items():
             write_json(t, f"{base}/trials_{name}.json")
     return result

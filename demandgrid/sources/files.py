@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from datetime import date
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,6 +148,31 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def save_fitted(spark: SparkSession, models: Mapping[int, object], spec: object, path: str) -> None:
+    """Fitted forecasters (linear models or boosted trees, by window) with their column spec, as JSON lines."""
+    def plain(v):
+        return v.tolist() if hasattr(v, "tolist") else dict(vars(v)) if hasattr(v, "__dict__") else str(v)
+
+    rows = [(int(i), type(m).__name__, json.dumps(m, default=plain), json.dumps(spec, default=plain)) for i, m in models.items()]
+    spark.createDataFrame(rows, FITTED_SCHEMA).coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_fitted(spark: SparkSession, path: str) -> tuple[dict[int, object], object]:
+    """What :func:`save_fitted` wrote: models by window, and the spec."""
+    from demandgrid.operators.boosting import Tree, TweedieEnsemble
+    from demandgrid.operators.regression import LagSpec, Linear
+    models, spec = {}, None
+    for r in spark.read.schema(FITTED_SCHEMA).json(path).collect():  # a row per window
+        m, spec = json.loads(r["model"]), json.loads(r["spec"])
+        if r["kind"] == "Linear":
+            models[r["window"]] = Linear(**{k: np.array(v) if isinstance(v, list) else v for k, v in m.items()})
+        else:
+            trees = [Tree(**{k: np.array(v) for k, v in t.items()}) for t in m.pop("trees")]
+            models[r["window"]] = TweedieEnsemble(**m, trees=trees)
+    return models, LagSpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in (spec or {}).items()})
+
+
+FITTED_SCHEMA = "window int, kind string, model string, spec string"
 LOG_SCHEMA = "name string, description string, logged_at timestamp, status string"
 
 

@@ -91,7 +91,7 @@ def fit(df: DataFrame, *, key: str = "doc_id", text: str = "text", label: str =
         "lang", "n", "k", F.explode(F.transform(
             F.sequence(F.lit(1), F.char_length("p") - F.col("k") + 1),
             lambda i: F.substr(F.col("p"), i, F.col("k")))).alias("g"))
-    grams = grams.groupBy("lang", "k", "g").agg(F.sum("n").alias("n"))
+    grams = grams.where(~F.col("g").isin("^", "$")).groupBy("lang", "k", "g").agg(F.sum("n").alias("n"))
     parts = _most_frequent(grams, ["k", "g"], max(1, min(s.grams_per_language, share // (2 * s.longest))))
     column = {x: i for i, x in enumerate(languages)}
     tables, names = [], []

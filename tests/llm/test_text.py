@@ -70,7 +70,7 @@ def test_quality_of_nothing(docs, none, spark):
     assert quality.quality_verdicts(none).count() == 0
     row = quality.quality_verdicts(docs.where("doc_id = 200")).first()
     assert (row["n_words"], row["n_symbols"], row["kept"], row["mean_word_length"]) == (0, 0, False, None)
-    clean = " ".join(f"the house of word{i} and" for i in range(30))
+    clean = " ".join(f"the house{i} of word{i} and tree{i}" for i in range(30))
     assert quality.quality_verdicts(spark.createDataFrame([(1, clean)], "doc_id int, text string")).first()["kept"]
 
 

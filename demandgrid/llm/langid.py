@@ -23,6 +23,7 @@ from demandgrid.llm.base import materialise
 
 UND = "und"
 LETTERS = r"\p{L}+"
+MOST_LANGUAGES = 1_000  # the table of frequencies has a column for each
 
 
 @dataclass(frozen=True)
@@ -43,8 +44,10 @@ def training_sample(df: DataFrame, key: str, text: str, label: str, docs: int) -
         F.col(label).alias("lang"), F.col(text).alias("text"),
         (F.xxhash64(F.col(key), F.col(text)).bitwiseAND(F.lit((1 << 62) - 1)) / float(1 << 62)).alias("u"))
     counts = rows.groupBy("lang").count()
-    # twice the share keeps the exact ranking below from moving more texts than it needs
-    near = rows.join(counts, "lang").where(F.col("u") <= 2.0 * docs / F.col("count") + 1e-4)
+    if counts.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    # a row for each language, checked above; twice the share keeps the exact ranking from moving more texts than it needs
+    near = rows.join(F.broadcast(counts), "lang").where(F.col("u") <= 2.0 * docs / F.col("count") + 1e-4)
     first = Window.partitionBy("lang").orderBy("u")
     return near.withColumn("i", F.row_number().over(first)).where(F.col("i") <= docs).select("lang", "text")
 

@@ -25,7 +25,7 @@ PROJECTIONS = 64
 HALF_WINDOW = 0.67       # of the search radius
 THRESHOLD = 30           # of PROJECTIONS; a vector at the search radius reaches it in most cases
 GROWTH = 1.15            # of the radius from round to round
-VERIFIED = 0.25          # of a block, at least, before the windows stop growing
+VERIFIED = 0.4           # of a block, at least, before the windows stop growing
 LEAST_VERIFIED = 400
 BLOCK = 16_384           # vectors
 GROUP = 4_096            # queries
@@ -46,17 +46,23 @@ class Index:
         along = (lifted @ self.axes.T).T
         self.order = np.argsort(along, axis=1, kind="stable")
         self.sorted = np.take_along_axis(along, self.order, axis=1)
+        # windows open where those of some of the block's own vectors were one step from closing
+        self.start = 0.5
+        self.start = min(self._grown(vectors[i], 1)[1] for i in range(0, n, -(-n // 8))) / GROWTH
 
     def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
         """Rows that collide often enough."""
+        return self._grown(query, k)[0]
+
+    def _grown(self, query: np.ndarray, k: int) -> tuple[np.ndarray, float]:
         n, m = len(self.ids), len(self.axes)
         wanted = min(n, max(LEAST_VERIFIED, k + 1, math.ceil(VERIFIED * n)))
         if wanted >= n:
-            return np.arange(n)
+            return np.arange(n), self.start
         at = self.axes[:, :-1] @ (query / np.linalg.norm(query))
         lo = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at)])
         hi = lo.copy()
-        counts, radius = np.zeros(n, np.int64), 0.8
+        counts, radius = np.zeros(n, np.int64), self.start
         while True:
             new = []
             for i in range(m):
@@ -73,14 +79,14 @@ class Index:
                 counts += np.bincount(np.concatenate(new), minlength=n)
             found = counts >= THRESHOLD * m / PROJECTIONS
             if np.count_nonzero(found) >= wanted:
-                return np.flatnonzero(found)
+                return np.flatnonzero(found), radius
             radius *= GROWTH
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         rows = self.candidates(query, k)
         rows = rows[self.ids[rows] != query_id]
         # a sum per row, not a matrix product: equal vectors get equal scores
-        scores = (self.vectors[rows] * query).sum(axis=1)
+        scores = np.einsum("ij,j->i", self.vectors[rows], query)
         best = np.lexsort((self.ids[rows], -scores))[:k] if len(rows) <= 4 * k else None
         if best is None:
             edge = np.partition(scores, len(scores) - k)[len(scores) - k]

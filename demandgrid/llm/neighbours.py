@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 PROJECTIONS = 64
 HALF_WINDOW = 0.67       # of the search radius
 THRESHOLD = 30           # of PROJECTIONS; a vector at the search radius reaches it in most cases
-GROWTH = 1.15            # of the radius from round to round
-VERIFIED = 0.4           # of a block, at least, before the windows stop growing
+GROWTH = 1.08            # of the radius from round to round
+VERIFIED = 0.5           # of a block, at least, before the windows stop growing
 LEAST_VERIFIED = 400
 BLOCK = 16_384           # vectors
 GROUP = 4_096            # queries
+TOGETHER = 256           # queries of a group whose windows grow side by side
 
 
 class Index:
@@ -46,44 +47,41 @@ class Index:
         along = (lifted @ self.axes.T).T
         self.order = np.argsort(along, axis=1, kind="stable")
         self.sorted = np.take_along_axis(along, self.order, axis=1)
-        # windows open where those of some of the block's own vectors were one step from closing
+        # windows open where those of some of the block's own vectors were about to close
         self.start = 0.5
-        self.start = min(self._grown(vectors[i], 1)[1] for i in range(0, n, -(-n // 8))) / GROWTH
+        radii = [r for _, r in self.candidates(vectors[::-(-n // 8)], 1)]
+        self.start = min(radii) / GROWTH
 
-    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows that collide often enough."""
-        return self._grown(query, k)[0]
-
-    def _grown(self, query: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+    def candidates(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, float]]:
+        """For each query the rows that collide with it often enough, and the radius at which they are many enough."""
         n, m = len(self.ids), len(self.axes)
         wanted = min(n, max(LEAST_VERIFIED, k + 1, math.ceil(VERIFIED * n)))
         if wanted >= n:
-            return np.arange(n), self.start
-        at = self.axes[:, :-1] @ (query / np.linalg.norm(query))
-        lo = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at)])
-        hi = lo.copy()
-        counts, radius = np.zeros(n, np.int64), self.start
-        while True:
-            new = []
-            for i in range(m):
-                s = self.sorted[i]
-                a = np.searchsorted(s, at[i] - HALF_WINDOW * radius)
-                b = np.searchsorted(s, at[i] + HALF_WINDOW * radius, side="right")
-                if a < lo[i]:
-                    new.append(self.order[i, a:lo[i]])
-                    lo[i] = a
-                if b > hi[i]:
-                    new.append(self.order[i, hi[i]:b])
-                    hi[i] = b
-            if new:
-                counts += np.bincount(np.concatenate(new), minlength=n)
-            found = counts >= THRESHOLD * m / PROJECTIONS
-            if np.count_nonzero(found) >= wanted:
-                return np.flatnonzero(found), radius
-            radius *= GROWTH
-
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.candidates(query, k)
+            return [(np.arange(n), self.start)] * len(queries)
+        out: list = [None] * len(queries)
+        at = self.axes[:, :-1] @ (queries / np.linalg.norm(queries, axis=1, keepdims=True)).T
+        low = np.stack([np.searchsorted(s, x) for s, x in zip(self.sorted, at)])
+        high, counts, radius = low.copy(), np.zeros((len(queries), n), np.int16), self.start
+        growing = np.arange(len(queries))
+        while len(growing):
+            reach = HALF_WINDOW * radius
+            a = np.stack([np.searchsorted(s, x) for s, x in zip(self.sorted, at[:, growing] - reach)])
+            b = np.stack([np.searchsorted(s, x, side="right") for s, x in zip(self.sorted, at[:, growing] + reach)])
+            done = np.zeros(len(growing), bool)
+            for j, i in enumerate(growing):
+                new = [o[x:y] for o, x, y in zip(self.order, a[:, j].tolist(), low[:, i].tolist()) if x < y]
+                new += [o[x:y] for o, x, y in zip(self.order, high[:, i].tolist(), b[:, j].tolist()) if x < y]
+                if new:
+                    counts[i] += np.bincount(np.concatenate(new), minlength=n).astype(np.int16)
+                found = counts[i] >= THRESHOLD * m / PROJECTIONS
+                if np.count_nonzero(found) >= wanted:
+                    out[i], done[j] = (np.flatnonzero(found), radius), True
+            low[:, growing], high[:, growing] = a, b
+            growing, radius = growing[~done], radius * GROWTH
+        return out
+
+    def search(self, query_id: int, query: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best ``k`` of the candidate rows, and their scores."""
         rows = rows[self.ids[rows] != query_id]
         # a sum per row, not a matrix product: equal vectors get equal scores
         scores = np.einsum("ij,j->i", self.vectors[rows], query)
@@ -123,8 +121,11 @@ def nearest(df: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: s
         if len(vectors) and len(queries):
             order = np.argsort(ids := vectors["id"].to_numpy(), kind="stable")
             index = Index(ids[order], _matrix(vectors["v"])[order])
-            for q, v in zip(queries["id"].to_numpy().tolist(), _matrix(queries["v"])):
-                out.append((q, *index.search(q, v, k)))
+            names, asked = queries["id"].to_numpy(), _matrix(queries["v"])
+            for at in range(0, len(names), TOGETHER):
+                some = slice(at, at + TOGETHER)
+                for q, v, (rows, _) in zip(names[some].tolist(), asked[some], index.candidates(asked[some], k)):
+                    out.append((q, *index.search(q, v, rows, k)))
         whose = np.repeat(np.array([o[0] for o in out], np.int64), [len(o[1]) for o in out])
         join = lambda i, kind: np.concatenate([np.zeros(0, kind), *(o[i] for o in out)])
         return pa.table({"query_id": pa.array(whose), "vec_id": pa.array(join(1, np.int64)),

@@ -62,7 +62,9 @@ def combine_predictions(model: DataFrame, baseline: DataFrame, check: bool = Fal
     out = a.join(b.drop(*[c for c in b.columns if c in a.columns and c not in shared]), shared)
     if check:
         have, want = out.count(), a.count()
-        if have != want or not want:
+        if not have:
+            raise ValueError(f"join on {shared} matched no row")
+        if have != want:
             raise ValueError(f"{want} predictions met baselines on {shared} in {have} rows")
     return out
 

@@ -15,7 +15,7 @@ HEADLINE = (
     "hierarchy_rollup", "seasonal_profiles", "monthly_change_signs", "periods_since_last_sale", "rolling_stats",
     "features_with_calendar_and_prices", "price_level_demand", "event_impact", "similar_series_in_store",
     "baseline_backtest", "evaluate_all_grains", "in_sample_scaled_by_cutoff", "ridge_backtest", "column_profile",
-    "numeric_description")
+    "numeric_description", "dataset_features", "one_lag_search", "ridge_forecast_one_lag")
 
 
 def main() -> None:

@@ -44,15 +44,22 @@ def boilerplate(df: DataFrame, text: str, host: str, *, ratio: float, min_pages:
 
 
 def drop_boilerplate(df: DataFrame, *, text: str = "text", host: str = "source", ratio: float = 0.1,
-                     min_pages: int = 5) -> DataFrame:
+                     min_pages: int = 5, most: float | None = None) -> DataFrame:
     """Whole rows as struct ``row``, the text without boilerplate (``clean``) and the numbers of lines before and
-    after (``n_lines``, ``n_dropped``)."""
+    after (``n_lines``, ``n_dropped``).
+
+    ``most``: a page of which more than this share of the characters would go stays whole.  It is one of many near
+    copies, whose shared lines are their content; near-duplicate removal leaves one of them."""
     marks = boilerplate(df, text, host, ratio=ratio, min_pages=min_pages)
     rows = df.select(F.struct("*").alias("row"), F.col(host).alias("rh"), F.col(text).alias("t"))
     joined = rows.join(marks, F.col("rh").eqNullSafe(F.col("h")), "left")
     kept = F.when(F.col("marks").isNull(), _lines(F.col("t"))).otherwise(
         F.filter(_lines(F.col("t")), lambda x: ~F.array_contains(F.col("marks"), fingerprint128(x))
                  | (F.translate(x, BLANKS, "") == "")))
+    if most is not None:
+        length = F.char_length("t")
+        kept = let(kept, lambda k: F.when(length - F.char_length(F.array_join(k, "\n")) > most * length, _lines(F.col("t")))
+                   .otherwise(k))
     out = let(kept, lambda k: F.struct(F.array_join(k, "\n").alias("clean"), F.size(k).alias("n")))
     n = F.when(F.col("t").isNotNull(), F.size(_lines(F.col("t")))).otherwise(0)
     joined = joined.select("row", n.cast("long").alias("n_lines"), F.when(F.col("t").isNotNull(), out).alias("o"))

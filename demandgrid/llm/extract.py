@@ -31,6 +31,7 @@ RAW = set("script style noscript iframe svg math template textarea title object
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
             "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary "
             "table tbody td tfoot th thead tr ul".split())
+OPAQUE = set("svg math template object canvas audio video".split())  # of RAW: parsed by HTML, so one left open hides nothing
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
           "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"),
           "tbody": ("thead tbody tr td th", "table"), "tfoot": ("tbody tr td th", "table")}
@@ -43,16 +44,19 @@ UNWANTED = set(
     "social related recommended recommendations sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer "
     "foot header masthead comment comments commentlist disqus reply replies respond discussion pagination pager widget "
     "toolbar skip form outbrain taboola teaser byline".split())
+REPLIES = set("comment comments commentlist disqus reply replies respond discussion".split())
+SPARED = set("form fieldset label header".split())  # of DROPPED: tags that also wrap whole pages
 WANTED = set("article content entry main post story text body prose blog".split())
 BASE = {"article": 20, "main": 10, "section": 5, "div": 3, "td": 3, "blockquote": 3, "pre": 3,
         "ul": -3, "ol": -3, "dl": -3, "li": -3, "table": 0, "th": -5}
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "names", "unwanted", "score", "length", "linked")
+    __slots__ = ("tag", "parent", "parts", "names", "unwanted", "sparable", "score", "length", "linked")
 
     def __init__(self, tag: str, parent: Element | None, names: frozenset[str] = frozenset(), unwanted: bool = False):
         self.tag, self.parent, self.names, self.unwanted = tag, parent, names, unwanted
+        self.sparable = False
         self.parts: list = []
         self.score, self.length, self.linked = 0.0, 0, 0
 
@@ -73,7 +77,9 @@ def _element(tag: str, attributes: str, parent: Element) -> Element:
             else:
                 hidden = True
     named = bool(names & UNWANTED) and not (tag in ("body", "html", "main") or tag == "article" and not names & {"comment", "comments", "reply"})
-    return Element(tag, parent, frozenset(names), tag in DROPPED or hidden or named)
+    e = Element(tag, parent, frozenset(names), tag in DROPPED or hidden or named)
+    e.sparable = e.unwanted and not hidden and (tag not in DROPPED or tag in SPARED)
+    return e
 
 
 def parse(page: str) -> Element:
@@ -103,10 +109,12 @@ def parse(page: str) -> Element:
             at = at.parent
             continue
         if tag in RAW:
-            if m[3].endswith("/") and tag == "svg":
+            if m[3].endswith("/") and tag in OPAQUE:
                 continue
             lower = page.lower() if lower is None else lower
             end = lower.find(f"</{tag}", i) if len(lower) == len(page) else page.find(f"</{tag}", i)
+            if end < 0 and tag in OPAQUE:
+                continue
             if end < 0:
                 break
             i = page.find(">", end) + 1 or len(page)
@@ -142,6 +150,34 @@ def parse(page: str) -> Element:
     return root
 
 
+def _spare(root: Element) -> None:
+    """Containers that hold most of the page's unlinked paragraph text are kept, whatever their tag or name.
+
+    Threads of replies are only spared where the page would have no text without them."""
+    held: dict[int, int] = {}
+    order, stack = [], [(root, False, False, False)]
+    while stack:
+        e, paragraph, link, gone = stack.pop()
+        paragraph, link = paragraph or e.tag == "p", link or e.tag == "a"
+        gone |= e.unwanted and not e.sparable
+        order.append(e)
+        held[id(e)] = 0
+        for x in e.parts:
+            if not isinstance(x, str):
+                stack.append((x, paragraph, link, gone))
+            elif paragraph and not link and not gone:
+                held[id(e)] += len(x.strip())
+    for e in reversed(order):
+        if e.parent is not None:
+            held[id(e.parent)] += held[id(e)]
+    for e in order:
+        if e.sparable and not e.names & REPLIES and 2 * held[id(e)] > held[id(root)]:
+            e.unwanted = False
+    if not _blocks(root):
+        for e in order:
+            e.unwanted &= not e.sparable
+
+
 def _walk(root: Element):
     """Elements that aren't unwanted, parents first."""
     stack = [root]
@@ -215,6 +251,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _spare(root)
     order = _measure(root)
     blocks = _blocks(root)
     if not blocks:

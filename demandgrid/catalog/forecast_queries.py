@@ -15,6 +15,7 @@ from demandgrid.plans.training import train_and_evaluate
 from demandgrid.sources import files
 
 WINDOWS = Windows(28, 3)
+SURVEYED = Windows(28, 5)  # searches and the whole training job, as surveyed
 ONE_LAG = r.LagSpec(lags=(1,), rolling=(), weekday=False, month=False)
 FULL = r.LagSpec(lags=(1, 7, 14), rolling=(7, 28), counters=True, exog=("snap",))
 
@@ -263,7 +264,7 @@ def tree_importance_by_fold(spark, sf):
 
 @query("tree_random_search")
 def tree_random_search(spark, sf):
-    return search.random_search(b.panel(spark, sf), Windows(28, 2), "TweedieGBT", n_trials=2)
+    return search.random_search(b.panel(spark, sf), SURVEYED, "TweedieGBT")
 
 
 @query("ridge_importance_by_fold")
@@ -276,10 +277,10 @@ def ridge_importance_by_fold(spark, sf):
 
 @query("ridge_random_search")
 def ridge_random_search(spark, sf):
-    return search.random_search(b.panel(spark, sf), Windows(28, 2), "Ridge", n_trials=20)
+    return search.random_search(b.panel(spark, sf), SURVEYED, "Ridge")
 
 
 @query("train_and_evaluate")
 def train_and_evaluate_query(spark, sf):
     """Search, refit, baselines and all metrics of the pooled ridge and the boosted trees."""
-    return train_and_evaluate(b.panel(spark, sf), Windows(28, 2), n_trials=2).metrics
+    return train_and_evaluate(b.panel(spark, sf), SURVEYED, n_trials=20).metrics

@@ -134,18 +134,27 @@ def ensemble_predictor(models: Mapping[int, TweedieEnsemble]) -> Predictor:
     return lambda window, x, on: models[window].predict(x)
 
 
-def tweedie_backtest(panel: DataFrame, spec: LagSpec, windows: Windows, name: str = "TweedieGBT", **params
-                     ) -> tuple[DataFrame, dict[int, TweedieEnsemble]]:
-    """Pooled boosted trees: predictions of every window and the ensemble per window."""
-    frame = VectorAssembler(inputCols=spec.features(), outputCol="features").transform(
-        lag_frame(panel, spec, windows)).select("segment", Y, "features").persist()
+def prepared_frame(panel: DataFrame, spec: LagSpec, windows: Windows) -> DataFrame:
+    """Training rows of all windows (segment, y, features vector)."""
+    return VectorAssembler(inputCols=spec.features(), outputCol="features").transform(
+        lag_frame(panel, spec, windows)).select("segment", Y, "features")
+
+
+def tweedie_backtest(panel: DataFrame, spec: LagSpec, windows: Windows, name: str = "TweedieGBT",
+                     frame: DataFrame | None = None, **params) -> tuple[DataFrame, dict[int, TweedieEnsemble]]:
+    """Pooled boosted trees: predictions of every window and the ensemble per window.
+
+    ``frame``: what ``prepared_frame`` gives, kept by the caller for several calls of equal lags and windows."""
+    own = frame is None
+    frame = prepared_frame(panel, spec, windows).persist() if own else frame
     models = {}
     try:
         for i in range(windows.n_windows):
             rows = frame.where(F.col("segment") >= i if windows.initial is None else F.col("segment") <= i)
             models[i] = fit_tweedie(rows, **params)
     finally:
-        frame.unpersist()
+        if own:
+            frame.unpersist()
     return recursive_backtest(panel, spec, windows, {name: ensemble_predictor(models)}), models
 
 

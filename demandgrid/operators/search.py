@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from demandgrid.functions.core import Y, ratio, stack
 from demandgrid.session import cut_lineage
 from demandgrid.operators.backtest import Windows
-from demandgrid.operators.boosting import tweedie_backtest
+from demandgrid.operators.boosting import prepared_frame, tweedie_backtest
 from demandgrid.operators.regression import (
     LagSpec, fit_ridge_windows, lag_frame, linear_predictor, products, recursive_backtest,
 )
@@ -66,7 +66,8 @@ def random_search(panel: DataFrame, windows: Windows, model: str = "Ridge", n_tr
     """One row per trial: settings and scores, best first (``score`` names the ranking column).
 
     Ridge trials that share lags and windows share one training pass (the sums of products serve
-    every penalty) and one forecasting pass, so twenty trials cost at most four passes each.
+    every penalty) and one forecasting pass, so twenty trials cost at most four passes each.  Such tree trials share one
+    training frame.
     """
     spark = panel.sparkSession
     trials = draw(model, n_trials, seed, **options)
@@ -82,9 +83,10 @@ def random_search(panel: DataFrame, windows: Windows, model: str = "Ridge", n_tr
             part = _scores(recursive_backtest(panel, spec, windows, makers), list(makers))
             scored = part if scored is None else scored.unionByName(part)
         else:
+            frame = cut_lineage(prepared_frame(panel, spec, windows))
             for t in some:
                 name = f"t{t['trial']}"
-                pred, _ = tweedie_backtest(panel, spec, windows, name, **t["params"])
+                pred, _ = tweedie_backtest(panel, spec, windows, name, frame, **t["params"])
                 part = _scores(pred, [name])
                 scored = part if scored is None else scored.unionByName(part)
     rows = [(t["trial"], t["model"], json.dumps(t["lags"]), json.dumps(t["rolling"]), json.dumps(t["params"])) for t in trials]

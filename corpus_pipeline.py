@@ -7,12 +7,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandgrid.llm import jaccard, langid, lines, mixing
+from demandgrid.llm import langid, lines, mixing, simhash
 from demandgrid.llm.base import materialise, table
 from demandgrid.llm.queries import LINE_PAGES, LINE_RATIO, OTHER_WEIGHT, RECIPE, tokenizer
 
 LEAST_SCORE = 0.3
-SIMILARITY = 0.8
+SHINGLE, MOST_BITS = 3, 2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: those whose five-word shingles have a similarity of 0.8."""
-    return jaccard.first_of_each(docs, shingle=5, similarity=SIMILARITY)
+    """One document of each group whose SimHash fingerprints are linked by two bits at most stays."""
+    return simhash.first_of_each(docs, shingle=SHINGLE, radius=MOST_BITS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -290,7 +290,7 @@ def test_pipeline(spark):
     assert len(set(keys)) == len(keys) and set(keys) <= set(before)
     clean = {}
     for k, (h, t, c) in zip(before, deduped([(r["source"], r["text"]) for r in before.values()], 0.1, 5)):
-        clean[k] = plain_print(c, 5)
+        clean[k] = plain_print(c, 3)
     roots, least = classes(set(clean.values()), 2), {}
     for k, p in clean.items():
         least[roots[p]] = min(least.get(roots[p], k), k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from demandgrid.llm import bpe, extract, filter_audit, langid, lines, mixing, neighbours, quality, sharding, simhash, token_counts
+from demandgrid.llm import bpe, extract, filter_audit, langid, lines, mixing, neighbours, prefix_trie, quality, sharding, simhash, token_counts
 from demandgrid.llm.base import query, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -141,6 +141,36 @@ def op10_near_duplicates(spark, sf_dir):
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op12_prefix_trie", r"""
+WITH RECURSIVE
+bits(i, k, v) AS (SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc(conv_id, rest, v) AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR), 4294967295 FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT conv_id, substr(rest, 2), xor(crc.v >> 8, bits.v) FROM crc JOIN bits ON k = 8 AND i = xor(crc.v & 255, ascii(rest))
+  WHERE rest <> ''),
+h AS (SELECT conv_id, xor(v, 4294967295) % 4 AS h FROM crc WHERE rest = ''),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 128), md5(text)) AS pos,
+  md5(md5(role) || md5(text)) AS m, len(list_filter(string_split_regex(text, '[ \x09-\x0D]+'), lambda x: x <> '')) AS words FROM t),
+r AS (SELECT h.conv_id, pos, m, words FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20 AND pos <= h
+  UNION ALL SELECT conv_id, pos, m, words FROM h JOIN o USING (conv_id) WHERE pos > h),
+c AS (SELECT conv_id, coalesce(list(m ORDER BY pos) FILTER (m IS NOT NULL), []) AS path,
+  coalesce(list(words ORDER BY pos) FILTER (m IS NOT NULL), []) AS words FROM h LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+p AS (SELECT conv_id, path, words, unnest(range(len(path) + 1)) AS depth FROM c),
+n AS (SELECT depth, path[1:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+  (count(*) - 1) * coalesce(any_value(words[depth]), 0) AS saved,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(path) = depth), '')) AS ends_sha256
+  FROM p GROUP BY depth, prefix),
+k AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (prefix)),
+b AS (SELECT n.prefix, sum(v.saved)::BIGINT AS saved_tokens, count(*) FILTER (v.n_children = 0) AS n_leaves
+  FROM n JOIN m v ON v.prefix[1:n.depth] = n.prefix GROUP BY n.prefix)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN b USING (prefix) LEFT JOIN n u ON m.depth > 0 AND u.prefix = m.prefix[1:m.depth - 1]""")
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("x", "y")
+
+
 @query("op13_filter_audit", r"""
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
   list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from demandgrid.llm import bpe, extract, filter_audit, langid, lines, mixing, neighbours, prefix_trie, quality, sharding, simhash, token_counts
+from demandgrid.llm import bpe, extract, filter_audit, langid, lines, mixing, neighbours, pii, prefix_trie, quality, sharding, simhash, token_counts
 from demandgrid.llm.base import query, table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -141,6 +141,20 @@ def op10_near_duplicates(spark, sf_dir):
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op11_personal_data")
+def op11_personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = docs.select("doc_id", pii.find_spans(docs, pii.fit(docs), F.col("text")).alias("s"))
+    base = F.filter("s", lambda s: s["base"])
+
+    def joined(of):
+        return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return spans.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"),
+                        F.size(F.filter("s", lambda s: ~s["base"])).cast("long").alias("n_added"))
+
+
 @query("op12_prefix_trie", r"""
 WITH RECURSIVE
 bits(i, k, v) AS (SELECT i, 0, i FROM range(256) t(i)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from demandgrid.functions.core import Y, ratio, stack
 from demandgrid.session import cut_lineage
 from demandgrid.operators.backtest import Windows
-from demandgrid.operators.boosting import prepared_frame, tweedie_backtest
+from demandgrid.operators.boosting import Setting, ensemble_predictor, fit_many, prepared_frame
 from demandgrid.operators.regression import (
     LagSpec, fit_ridge_windows, lag_frame, linear_predictor, products, recursive_backtest,
 )
@@ -62,33 +62,36 @@ def _scores(pred: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def random_search(panel: DataFrame, windows: Windows, model: str = "Ridge", n_trials: int = 20, seed: int = 42,
-                  score: str = "mae", base: LagSpec = LagSpec(), **options) -> DataFrame:
+                  score: str = "mae", base: LagSpec = LagSpec(), log: str | None = None, **options) -> DataFrame:
     """One row per trial: settings and scores, best first (``score`` names the ranking column).
 
-    Ridge trials that share lags and windows share one training pass (the sums of products serve
-    every penalty) and one forecasting pass, so twenty trials cost at most four passes each.  Such tree trials share one
-    training frame.
+    Trials that share lags share one training frame and one forecasting pass.  Ridge trials are all solved from one
+    frame's sums of products; trees of all trials and windows grow side by side, one job per level for all of them.
+    ``log``: a folder finished trees are appended to, for a search that was killed to go on from.
     """
     spark = panel.sparkSession
     trials = draw(model, n_trials, seed, **options)
     groups: dict[tuple, list[dict]] = {}
     for t in trials:
         groups.setdefault((t["lags"], t["rolling"]), []).append(t)
+    specs = {key: replace(base, lags=key[0], rolling=key[1]) for key in groups}
+    makers: dict[tuple, dict] = {key: {} for key in groups}
+    if model == "Ridge":
+        for key, some in groups.items():
+            prod = products(lag_frame(panel, specs[key], windows), specs[key])
+            makers[key] = {f"t{t['trial']}": linear_predictor(fit_ridge_windows(prod, windows, **t["params"])) for t in some}
+    elif groups:
+        frames = [prepared_frame(panel, specs[key], windows) for key in groups]
+        work = [(key, t, i, w) for i, (key, some) in enumerate(groups.items()) for t in some for w in range(windows.n_windows)]
+        names = [json.dumps([key, t["params"], str(specs[key]), w, str(windows)]) for key, t, _, w in work]
+        fitted = fit_many(frames, [Setting(i, w, **t["params"]) for _, t, i, w in work], windows, log=log, names=names)
+        for t in trials:
+            key = (t["lags"], t["rolling"])
+            makers[key][f"t{t['trial']}"] = ensemble_predictor({w: e for (_, u, _, w), e in zip(work, fitted) if u is t})
     scored: DataFrame | None = None
-    for (lags, rolling), some in groups.items():
-        spec = replace(base, lags=lags, rolling=rolling)
-        if model == "Ridge":
-            prod = products(lag_frame(panel, spec, windows), spec)
-            makers = {f"t{t['trial']}": linear_predictor(fit_ridge_windows(prod, windows, **t["params"])) for t in some}
-            part = _scores(recursive_backtest(panel, spec, windows, makers), list(makers))
-            scored = part if scored is None else scored.unionByName(part)
-        else:
-            frame = cut_lineage(prepared_frame(panel, spec, windows))
-            for t in some:
-                name = f"t{t['trial']}"
-                pred, _ = tweedie_backtest(panel, spec, windows, name, frame, **t["params"])
-                part = _scores(pred, [name])
-                scored = part if scored is None else scored.unionByName(part)
+    for key in groups:
+        part = _scores(recursive_backtest(panel, specs[key], windows, makers[key]), list(makers[key]))
+        scored = part if scored is None else scored.unionByName(part)
     rows = [(t["trial"], t["model"], json.dumps(t["lags"]), json.dumps(t["rolling"]), json.dumps(t["params"])) for t in trials]
     table = spark.createDataFrame(rows, TRIAL_SCHEMA)
     ranked = (table.join(scored.withColumn("trial", F.substring("name", 2, 9).cast("int")).drop("name"), "trial")

@@ -36,6 +36,7 @@ from demandgrid.session import cut_lineage
 BLOCK = 32_768         # rows of a block
 FOLD_EVERY = 8         # steps after which finished trees are added to the kept scores
 CUT_EVERY = 5          # foldings after which the lineage is cut
+GATHERED = 48 << 20    # bytes of sums of all tasks that the driver adds itself; more are added by model in tasks
 LOG_SCHEMA = "model string, ensemble string"
 
 @dataclass
@@ -235,18 +236,23 @@ class Growing:
         return Tree(np.array(feature), np.array(threshold), np.array(self.left), np.array(self.right), np.array(self.value))
 
 
-def _reached(tree: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
-    """Node of every row; ``x``: columns by rows."""
+def _reached(tree: tuple[np.ndarray, ...], x: np.ndarray, width: int) -> np.ndarray:
+    """Node of every row; ``x``: columns by rows of codes below ``width``."""
     column, at_bin, level, left, right, _ = tree
-    at = np.zeros(x.shape[1], np.int64)
-    while True:
-        rows = np.flatnonzero(column[at] >= 0)
-        if not len(rows):
-            return at
-        node = at[rows]
-        v = x[column[node], rows]
-        go_left = np.where(level[node], v != at_bin[node], v <= at_bin[node])
-        at[rows] = np.where(go_left, left[node], right[node])
+    n = x.shape[1]
+    at = np.zeros(n, np.int64)
+    if len(column) < 2 or not n:
+        return at
+    codes, leaf = np.arange(width), column[:, None] < 0
+    go_left = np.where(level[:, None], codes != at_bin[:, None], codes <= at_bin[:, None])
+    after = np.where(leaf, np.arange(len(column))[:, None], np.where(go_left, left[:, None], right[:, None])).ravel()
+    flat, rows, starts = np.ascontiguousarray(x).ravel(), np.arange(n), np.maximum(column, 0) * n
+    for _ in range(len(column) // 2):   # as deep as a tree of so many nodes can be
+        then = after.take(at * width + flat.take(starts.take(at) + rows))
+        if np.array_equal(then, at):
+            break
+        at = then
+    return at
 
 
 @dataclass(frozen=True)
@@ -278,7 +284,7 @@ def _sums(batches: Iterator[pa.RecordBatch], jobs: dict[int, list[tuple]], colum
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for frame, n, x, y, s, f in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-            cols = columns[frame]
+            cols, width = columns[frame], max((c.bins for c in columns[frame]), default=1)
             x = np.frombuffer(x, np.uint8).reshape(len(cols), n)
             y, s = np.frombuffer(y), np.frombuffer(s, np.int32)
             scores = np.frombuffer(f).reshape(-1, n)
@@ -289,13 +295,13 @@ def _sums(batches: Iterator[pa.RecordBatch], jobs: dict[int, list[tuple]], colum
                 rows = rows_of[window]
                 xs, ys, score = x[:, rows], y[rows], scores[at, rows]
                 for t in done:
-                    score = score + rate * t[5][_reached(t, xs)]
+                    score = score + rate * t[5].take(_reached(t, xs, width))
                 a, b = np.exp((1 - power) * score), np.exp((2 - power) * score)
                 g, h = b - ys * a, (power - 1) * ys * a + (2 - power) * b
                 loss = b / (2 - power) - ys * a / (1 - power)
                 place = np.full(len(tree[0]), -1)
                 place[open_] = np.arange(len(open_))
-                local = place[_reached(tree, xs)]
+                local = place.take(_reached(tree, xs, width))
                 inside = np.flatnonzero(local >= 0)
                 if len(inside) < len(local):
                     local, xs, g, h = local[inside], xs[:, inside], g[inside], h[inside]
@@ -390,8 +396,11 @@ class _Trainer:
         state = None
         for i, f in enumerate(frames):
             if starts[i]:
-                one = _blocks(i, f, self.columns[i], np.array(starts[i]))
+                one = _blocks(i, f, self.columns[i], np.array(starts[i])).withColumn("place", F.spark_partition_id())
                 state = one if state is None else state.unionByName(one)
+        # a share of every frame in each task, as frames whose models are finished drop out
+        tasks = max(1, self.spark.sparkContext.defaultParallelism)
+        state = state.repartitionById(tasks, "place").drop("place")
         self.state, self.held, self.folds = state.persist(), [], 0
 
     def run(self, save) -> list[TweedieEnsemble]:
@@ -424,24 +433,32 @@ class _Trainer:
         columns, windows = self.columns, self.windows
         frame_of = {m: self.work[m].setting.frame for m in active}
 
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def added(batches) -> dict[int, np.ndarray]:
             total: dict[int, np.ndarray] = {}
             for batch in batches:
-                for m, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                for m, v in zip(batch.column("m").to_pylist(), batch.column("v").to_pylist()):
                     v = np.frombuffer(v)
                     total[m] = total[m] + v if m in total else v
-            found = [np.concatenate([best_splits(v, opened[m], columns[frame_of[m]]).ravel(), v[-2:]]).tobytes() for m, v in total.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(found, pa.binary())], ["m", "v"])
+            return total
+
+        def searched(total: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+            return {m: np.concatenate([best_splits(v, opened[m], columns[frame_of[m]]).ravel(), v[-2:]]) for m, v in total.items()}
 
-        parts = self.state.mapInArrow(lambda batches: _sums(batches, jobs, columns, windows), "m int, v binary")
-        groups = max(1, min(len(active), self.spark.sparkContext.defaultParallelism))
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = searched(added(batches))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())], ["m", "v"])
+
+        parts = self.state.where(F.col("frame").isin(list(jobs))).mapInArrow(lambda batches: _sums(batches, jobs, columns, windows), "m int, v binary")
+        tasks = max(1, self.spark.sparkContext.defaultParallelism)
+        size = tasks * sum(16 * n * max(1, sum(c.bins for c in columns[frame_of[m]])) + 16 for m, n in opened.items())
         # added in the order of the tasks, so that a fit can be repeated
-        dealt = parts.select("m", F.spark_partition_id().alias("task"), "v").repartition(groups, "m").sortWithinPartitions("m", "task")
-        out = {}
-        for r in dealt.mapInArrow(search, "m int, v binary").collect():   # a line per open node
-            v = np.frombuffer(r["v"])
-            out[r["m"]] = (v[:-2].reshape(-1, 7), v[-2] / v[-1])
-        return out
+        if size <= GATHERED:
+            found = searched(added(parts.toArrow().to_batches()))
+        else:
+            dealt = parts.select("m", F.spark_partition_id().alias("task"), "v").repartition(min(len(active), tasks), "m")
+            rows = dealt.sortWithinPartitions("m", "task").mapInArrow(search, "m int, v binary").collect()   # a line per open node
+            found = {r["m"]: np.frombuffer(r["v"]) for r in rows}
+        return {m: (v[:-2].reshape(-1, 7), v[-2] / v[-1]) for m, v in found.items()}
 
     def _grown(self, w: _Work, found: tuple[np.ndarray, float]) -> bool:
         """Take a step's splits; true if the model is finished."""
@@ -459,31 +476,31 @@ class _Trainer:
         return False
 
     def _fold(self, active: list[int]) -> None:
-        """Add finished trees to the kept scores."""
+        """Add finished trees to the kept scores; those of finished models go."""
         jobs: dict[int, list[tuple]] = {}
         for m in active:
             w = self.work[m]
-            if w.unfolded:
-                jobs.setdefault(w.setting.frame, []).append((w.at, w.setting.rate, w.unfolded))
-                w.unfolded = []
-        if not jobs:
-            return
+            mine = jobs.setdefault(w.setting.frame, [])
+            mine.append((w.at, w.setting.rate, w.unfolded))
+            w.at, w.unfolded = len(mine) - 1, []
         columns = [len(c) for c in self.columns]
+        widths = [max((c.bins for c in cols), default=1) for cols in self.columns]
 
         def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 fresh = []
                 for frame, n, x, f in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 5))):
-                    x, scores = np.frombuffer(x, np.uint8).reshape(columns[frame], n), np.frombuffer(f).reshape(-1, n).copy()
-                    for at, rate, trees in jobs.get(frame, []):
+                    x = np.frombuffer(x, np.uint8).reshape(columns[frame], n)
+                    scores = np.frombuffer(f).reshape(-1, n)[[at for at, _, _ in jobs[frame]]]
+                    for row, (_, rate, trees) in zip(scores, jobs[frame]):
                         for t in trees:
-                            scores[at] += rate * t[5][_reached(t, x)]
+                            row += rate * t[5].take(_reached(t, x, widths[frame]))
                     fresh.append(scores.tobytes())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(fresh, pa.binary())], BLOCK_NAMES)
 
         self.folds += 1
         self.held.append(self.state)
-        self.state = self.state.mapInArrow(fold, BLOCK_SCHEMA).persist()
+        self.state = self.state.where(F.col("frame").isin(list(jobs))).mapInArrow(fold, BLOCK_SCHEMA).persist()
         if self.folds % CUT_EVERY == 0:
             before, self.state = self.state, cut_lineage(self.state)
             for old in (*self.held, before):

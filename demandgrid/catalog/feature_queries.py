@@ -75,9 +75,14 @@ def one_hot_weekday_and_month(spark, sf):
     return enc.fit_transform(dated(spark, sf).select(ID, DS, Y, "weekday", "month"))
 
 
-@query("price_scaled_above_zero", FEATURES + """
-SELECT unique_id, ds, round(CASE WHEN sell_price > 0 THEN (sell_price - m) / s ELSE sell_price END, 6) AS sell_price
-FROM feats, (SELECT avg(sell_price) AS m, stddev_pop(sell_price) AS s FROM feats WHERE sell_price > 0)""")
+# frames that a twin reads more than once are worked out once
+ONCE = FEATURES.replace("feats AS (", "feats AS MATERIALIZED (").replace("panel AS (", "panel AS MATERIALIZED (")
+
+
+@query("price_scaled_above_zero", ONCE.rstrip() + """,
+st AS MATERIALIZED (SELECT avg(sell_price) AS m, stddev_pop(sell_price) AS s FROM feats WHERE sell_price > 0)
+SELECT unique_id, ds, round(CASE WHEN sell_price > 0 THEN (sell_price - (SELECT m FROM st)) / (SELECT s FROM st) ELSE sell_price END, 6)
+  AS sell_price FROM feats""")
 def price_scaled_above_zero(spark, sf):
     return f.ThresholdScaler(["sell_price"]).fit_transform(features_frame(spark, sf).select(ID, DS, "sell_price"))
 
@@ -148,10 +153,12 @@ def _model_frame(spark, sf):
     return intervals.periods_since_last_zero(intervals.periods_since_last_sale(df))
 
 
-@query("model_columns_linear", FEATURES + INTERVAL_CTE + f""", st AS (SELECT avg(sell_price) FILTER (sell_price > 0) AS pm,
+@query("model_columns_linear", ONCE + INTERVAL_CTE.replace("mf AS (", "mf AS MATERIALIZED (") + f""",
+st AS MATERIALIZED (SELECT avg(sell_price) FILTER (sell_price > 0) AS pm,
   stddev_pop(sell_price) FILTER (sell_price > 0) AS ps, avg(a) AS am, stddev_pop(a) AS sa, avg(b) AS bm, stddev_pop(b) AS sb FROM mf)
-SELECT {_KEEP}, round(CASE WHEN sell_price > 0 THEN (sell_price - pm) / ps ELSE sell_price END, 6) AS sell_price,
-  round((a - am) / sa, 6) AS "periods since last sales", round((b - bm) / sb, 6) AS "periods since last 0 sales", {_OHE}, {_OHM} FROM mf, st""")
+SELECT {_KEEP}, round(CASE WHEN sell_price > 0 THEN (sell_price - (SELECT pm FROM st)) / (SELECT ps FROM st) ELSE sell_price END, 6)
+  AS sell_price, round((a - (SELECT am FROM st)) / (SELECT sa FROM st), 6) AS "periods since last sales",
+  round((b - (SELECT bm FROM st)) / (SELECT sb FROM st), 6) AS "periods since last 0 sales", {_OHE}, {_OHM} FROM mf""")
 def model_columns_linear(spark, sf):
     return f.ModelColumns().fit_transform(_model_frame(spark, sf))
 
@@ -212,9 +219,21 @@ def event_significance(spark, sf):
     return event_effects.event_tests(features_frame(spark, sf), FLAGS)
 
 
-@query("event_p_values")
+# for whole degrees of freedom the t distribution is a finite sum over powers of the cosine of atan(t / sqrt(dof))
+@query("event_p_values", ONCE.rstrip() + f""", st AS ({_T}),
+pl AS (SELECT *, n1 + n0 - 2 AS dof, sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) AS s FROM st),
+tt AS MATERIALIZED (SELECT event, dof, (m1 - m0) / (s * sqrt(1.0::DOUBLE / n1 + 1.0::DOUBLE / n0)) AS t, (m1 - m0) / s AS d FROM pl),
+an AS (SELECT *, atan(abs(t) / sqrt(dof)) AS angle, dof % 2 AS odd FROM tt),
+terms AS (SELECT event, angle, odd, unnest(range(0, (dof - odd) // 2)) AS k FROM an),
+steps AS (SELECT event, angle, odd, k, CASE WHEN k = 0 THEN 0.0 ELSE ln((2.0 * k - 1 + odd) / (2.0 * k + odd)) + 2 * ln(cos(angle)) END AS step FROM terms),
+powers AS (SELECT event, angle, odd, k, exp(sum(step) OVER (PARTITION BY event ORDER BY k)) AS term FROM steps),
+sums AS (SELECT event, sum(term) AS total FROM powers GROUP BY event),
+pv AS (SELECT an.*, 1 - CASE WHEN odd = 1 THEN 2 / pi() * (angle + sin(angle) * cos(angle) * coalesce(total, 0))
+  ELSE sin(angle) * coalesce(total, 0) END AS p FROM an LEFT JOIN sums USING (event))
+SELECT event, dof, round(t, 6) AS t_stat, round(d, 6) AS cohens_d,
+  CASE WHEN abs(d) < 0.2 THEN 'Small' WHEN abs(d) < 0.5 THEN 'Medium' ELSE 'Large' END AS effect_size, round(abs(p), 6) AS p_value,
+  CASE WHEN p < 0.05 THEN 'Significant' ELSE 'Not Significant' END AS significance FROM pv""")
 def event_p_values(spark, sf):
-    """p-values need the t distribution, which SQL lacks; tested against table values instead."""
     return event_effects.with_significance(event_effects.event_tests(features_frame(spark, sf), FLAGS))
 
 

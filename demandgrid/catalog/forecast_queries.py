@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from demandgrid.catalog import base as b
@@ -134,9 +136,9 @@ def saved_model_predictions(spark, sf):
 
 def _search_sql() -> str:
     parts = []
-    for t in search.draw("Ridge", 4, 42, lag_choices=((1,),), rolling_choices=((),)):
+    for t in search.draw("Ridge", 20, 42, lag_choices=((1,),), rolling_choices=((),)):
         parts.append(f"""
-SELECT {t['trial']} AS trial, 'Ridge' AS model, '[1]' AS lags, '[]' AS rolling, 'mae' AS score_name, round(avg(e), 6) AS mae,
+SELECT {t['trial']} AS trial, 'Ridge' AS model, '[1]' AS lags, '[]' AS rolling, '{json.dumps(t["params"])}' AS params, 'mae' AS score_name, round(avg(e), 6) AS mae,
   round(sqrt(avg(e * e)), 6) AS rmse, round(avg(coalesce(e / nullif(abs(y) + abs(hat), 0), 0)), 6) AS smape, round(avg(e), 6) AS score
 FROM (SELECT t.y, hat, abs(t.y - hat) AS e FROM (
   SELECT t.y, pow(f.b, t.p - k.c) * k.last_y + f.a * (1 - pow(f.b, t.p - k.c)) / (1 - f.b) AS hat
@@ -146,8 +148,8 @@ FROM (SELECT t.y, hat, abs(t.y - hat) AS e FROM (
 
 @query("one_lag_search", with_panel(_search_sql(), more=POS_CTE))
 def one_lag_search(spark, sf):
-    return search.random_search(b.panel(spark, sf), WINDOWS, "Ridge", 4, base=ONE_LAG, lag_choices=((1,),),
-                                rolling_choices=((),)).drop("params")
+    return search.random_search(b.panel(spark, sf), WINDOWS, "Ridge", 20, base=ONE_LAG, lag_choices=((1,),),
+                                rolling_choices=((),))
 
 
 @query("ridge_backtest")
@@ -262,6 +264,36 @@ def tree_importance_by_fold(spark, sf):
     return boosting.split_importance(panel, TREES, fitted, r.fold_names(panel, WINDOWS))
 
 
+CALENDAR_ONLY = r.LagSpec(lags=(), rolling=())
+
+
+def _first_tree_sql() -> str:
+    """Gradient sums of every indicator at the mean, the split of largest gain and its Newton leaves (power 1.5)."""
+    flags = [(f"weekday_{d}", f"isodow(ds) = {i + 1}") for i, d in enumerate(r.WEEKDAYS) if i]
+    flags += [(f"month_{m}", f"month(ds) = {m}") for m in r.MONTHS[1:]]
+    sides = " UNION ALL ".join(f"""
+SELECT i, '{n}' AS feature, coalesce(sum(g) FILTER (NOT ({c})), 0) AS gl, coalesce(sum(h) FILTER (NOT ({c})), 0) AS hl,
+  coalesce(sum(g) FILTER ({c}), 0) AS gr, coalesce(sum(h) FILTER ({c}), 0) AS hr FROM gh GROUP BY i""" for n, c in flags)
+    return with_panel("""
+SELECT i AS "window", feature, round(-gl / hl, 6) AS left_value, round(-gr / hr, 6) AS right_value FROM s
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY gl * gl / hl + gr * gr / hr DESC) = 1""", more=f"""
+pos AS MATERIALIZED (SELECT unique_id, ds, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS p,
+  count(*) OVER (PARTITION BY unique_id) AS n FROM panel),
+w AS (SELECT i, ds, y::DOUBLE AS y, avg(y) OVER (PARTITION BY i) AS m FROM pos, (SELECT unnest(range(3))::INTEGER AS i) WHERE p <= n - 28 - 28 * i),
+gh AS MATERIALIZED (SELECT i, ds, sqrt(m) - y / sqrt(m) AS g, 0.5 * y / sqrt(m) + 0.5 * sqrt(m) AS h FROM w),
+s AS (SELECT * FROM ({sides}) WHERE hl > 0 AND hr > 0)""")
+
+
+@query("first_newton_tree", _first_tree_sql())
+def first_newton_tree(spark, sf):
+    """The first split of boosted trees on the calendar alone, and its two leaves, in every window."""
+    frame = boosting.prepared_frame(b.panel(spark, sf), CALENDAR_ONLY, WINDOWS)
+    fitted = boosting.fit_many([frame], [boosting.Setting(0, i, n_rounds=1, depth=1) for i in range(3)], WINDOWS)
+    rows = [(i, frame.features[t.feature[0]], float(t.value[t.left[0]]), float(t.value[t.right[0]]))
+            for i, t in enumerate(e.trees[0] for e in fitted)]
+    return spark.createDataFrame(rows, "window int, feature string, left_value double, right_value double")
+
+
 @query("tree_random_search")
 def tree_random_search(spark, sf):
     return search.random_search(b.panel(spark, sf), SURVEYED, "TweedieGBT")

@@ -20,10 +20,15 @@ def mean_band_filter(spark, sf):
     return p.filter_mean_band(b.panel(spark, sf, "nation"))
 
 
-@query("quantile_positive_filter", with_panel("""
-SELECT unique_id, ds, y FROM panel WHERE unique_id IN (
-  SELECT unique_id FROM panel, rng WHERE ds BETWEEN hi - 183 AND hi GROUP BY 1
-  HAVING quantile_cont(y, 0.85) > 0)""", "nation"))
+def _once(sql: str) -> str:
+    """Work the panel out once where a twin reads it twice."""
+    return sql.replace("panel AS (", "panel AS MATERIALIZED (").replace("rng AS (", "rng AS MATERIALIZED (")
+
+
+@query("quantile_positive_filter", _once(with_panel("""
+SELECT unique_id, ds, y FROM panel JOIN (
+  SELECT unique_id FROM panel WHERE ds >= (SELECT hi - 183 FROM rng) GROUP BY 1
+  HAVING quantile_cont(y, 0.85) > 0) USING (unique_id)""", "nation")))
 def quantile_positive_filter(spark, sf):
     _, hi = b.span(spark, sf)
     return p.filter_quantile_positive(b.panel(spark, sf, "nation"), hi - timedelta(183), hi)
@@ -125,9 +130,9 @@ def series_end_stats(spark, sf):
     return p.tail_stats(b.panel(spark, sf, "nation"), b.span(spark, sf)[1], 244)
 
 
-@query("quiet_tail_dropped", with_panel("""
-SELECT unique_id, ds, y FROM panel WHERE unique_id NOT IN (SELECT unique_id FROM tail WHERE q85 = 0)""",
-       "nation", TAIL_CTE))
+@query("quiet_tail_dropped", _once(with_panel("""
+SELECT p.unique_id, p.ds, p.y FROM panel p LEFT JOIN tail t ON t.unique_id = p.unique_id AND q85 = 0 WHERE t.unique_id IS NULL""",
+       "nation", TAIL_CTE.replace("FROM panel, rng WHERE ds BETWEEN hi - 244 AND hi", "FROM panel WHERE ds >= (SELECT hi - 244 FROM rng)"))))
 def quiet_tail_dropped(spark, sf):
     panel = b.panel(spark, sf, "nation")
     return p.drop_quiet_tail(panel, p.tail_stats(panel, b.span(spark, sf)[1], 244))

@@ -2,13 +2,12 @@
 
 ``percentile`` keeps a value-to-count map of each group in one task.  That is right for a series
 (bounded by its days) but not for one group holding a third of a 100 TB table, so
-:func:`exact_quantiles` locates the wanted ranks by counting instead:
+:func:`exact_quantiles` finds the wanted ranks by counting instead:
 
 1. rows collapse to (group, value, count) with map-side combining;
-2. a fixed-size sketch per group gives bucket edges, and buckets are counted;
-3. only the buckets that hold a wanted rank are ordered, each by itself.
-
-The sketch only steers the work: whatever edges it returns, the answer is exact.
+2. one range exchange sorts these, and they are written with the number of their range, so that all that
+   follows reads them back instead of the input;
+3. the ranges' totals give every range the ranks it begins with, and only ranges that hold a wanted rank are read.
 """
 
 from __future__ import annotations
@@ -18,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandgrid.session import cut_lineage
+
 
 def series_quantile(value: Column, p: float | Sequence[float]) -> Column:
     """Exact interpolated quantile of one bounded group, e.g. a series."""
@@ -26,56 +27,55 @@ def series_quantile(value: Column, p: float | Sequence[float]) -> Column:
     return F.percentile(value, F.array(*[F.lit(float(x)) for x in p]))
 
 
+def in_ranges(df: DataFrame, keys: Sequence[str], value: str, rows: str, parts: int | None = None) -> DataFrame:
+    """Distinct ``value``s per ``keys``, range by range: written once with ``__range`` and, from the totals of the
+    ranges, the rows of smaller ranges (``__before``), and the group's rows and distinct values (``__total``,
+    ``__distinct``).  ``rows`` is the column of row counts; a hot group is spread over as many ranges as it needs."""
+    order = [*keys, value]
+    dealt = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    placed = cut_lineage(dealt.sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()))
+    totals = placed.groupBy(*keys, "__range").agg(F.sum(rows).alias("__rows"), F.count(F.lit(1)).alias("__values"))
+    group = Window.partitionBy(*keys)   # at most a row per range
+    smaller = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "__range", "__rows", F.coalesce(F.sum("__rows").over(smaller), F.lit(0)).alias("__before"),
+                           F.sum("__rows").over(group).alias("__total"), F.sum("__values").over(group).alias("__distinct"))
+    return null_safe_join(placed, totals, [*keys, "__range"])
+
+
+def before_each(ranged: DataFrame, keys: Sequence[str], value: str, rows: str) -> Column:
+    """Rows of the group with smaller values, for rows of :func:`in_ranges`."""
+    inside = Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return F.col("__before") + F.coalesce(F.sum(rows).over(inside), F.lit(0))
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    halvings: int = 8, weight: str | None = None) -> DataFrame:
+                    parts: int | None = None, weight: str | None = None) -> DataFrame:
     """One row per group: ``by`` columns, ``n`` (non-null values), ``n_distinct`` and ``q``
     (array, one per prob).
 
-    ``weight`` names a column of row counts when the input is already collapsed.  Values are cut
-    into 2^halvings buckets per group.
+    ``weight`` names a column of row counts when the input is already collapsed; ``parts`` is the number of ranges,
+    by default that of shuffle partitions.
     """
-    buckets = 2 ** halvings
     by = list(by)
-    one = "__all"
-    keys = by or [one]
-    src = df if by else df.withColumn(one, F.lit(0))
+    keys = by or ["__all"]
+    src = df if by else df.withColumn("__all", F.lit(0))
     counts = (src.where(F.col(value).isNotNull())
               .groupBy(*keys, F.col(value).cast("double").alias("__v"))
               .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n")))
-    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    # totals ride with the sketch, so both readers of the counts want the same columns and share
-    # one exchange
-    sketch = (F.percentile_approx("__v", steps, F.lit(8 * buckets)).alias("__edges"),
-              F.sum("__n").alias("__total"), F.count(F.lit(1)).alias("__distinct"))
-    # number of edges below the value by repeated halving; equal values always share a bucket
-    if by:
-        placed = null_safe_join(counts, counts.groupBy(*keys).agg(*sketch), keys)
-    else:  # a single row: read as a value, not joined on a constant
-        placed = counts.withColumn("__s", counts.agg(F.struct(*sketch)).scalar()).select("*", "__s.*").drop("__s")
-    placed = placed.withColumn("__b", F.lit(0))
-    for k in reversed(range(halvings)):
-        below = F.element_at("__edges", F.col("__b") + 2 ** k) < F.col("__v")
-        placed = placed.withColumn("__b", F.col("__b") + F.when(below, 2 ** k).otherwise(0))
-    placed = placed.drop("__edges")
-    per_bucket = placed.groupBy(*keys, "__b", "__total", "__distinct").agg(F.sum("__n").alias("__bn"))
-    span = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = per_bucket.withColumn("__before", F.sum("__bn").over(span) - F.col("__bn"))
+    ranged = in_ranges(counts, keys, "__v", "__n", parts)
     # a wanted position lies between two neighbouring ranks, each with a share of the result
     pos = [F.lit(float(p)) * (F.col("__total") - 1) for p in probs]
-    share = [x - F.floor(x) for x in pos]
     ranks = F.array(*[
-        F.struct(F.lit(i).alias("i"), rank.alias("k"), weight_.alias("w"))
-        for i, (x, f) in enumerate(zip(pos, share))
-        for rank, weight_ in ((F.floor(x), 1 - f), (F.ceil(x), f))])
-    here = F.filter("__ranks", lambda r: (r["k"] >= F.col("__before")) & (r["k"] < F.col("__before") + F.col("__bn")))
-    wanted = (offsets.withColumn("__ranks", ranks).withColumn("__rs", here)
-              .where(F.size("__rs") > 0).select(*keys, "__b", "__before", "__total", "__distinct", "__rs"))
-    inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    hit = (null_safe_join(placed.drop("__total", "__distinct"), wanted, [*keys, "__b"])
-           .withColumn("__hi", F.col("__before") + F.sum("__n").over(inside))
-           .withColumn("__r", F.explode("__rs"))
-           .where((F.col("__r.k") < F.col("__hi")) & (F.col("__r.k") >= F.col("__hi") - F.col("__n"))))
+        F.struct(F.lit(i).alias("i"), rank.alias("k"), share.alias("w"))
+        for i, x in enumerate(pos)
+        for rank, share in ((F.floor(x), 1 - (x - F.floor(x))), (F.ceil(x), x - F.floor(x)))])
+
+    def held(first: Column, n: Column) -> Column:
+        return F.filter(ranks, lambda r: (r["k"] >= first) & (r["k"] < first + n))
+
+    wanted = ranged.where(F.size(held(F.col("__before"), F.col("__rows"))) > 0)
+    hit = (wanted.withColumn("__first", before_each(wanted, keys, "__v", "__n"))
+           .withColumn("__r", F.explode(held(F.col("__first"), F.col("__n")))))
     out = hit.groupBy(*keys, F.col("__total").alias("n"), F.col("__distinct").alias("n_distinct")).agg(*[
         F.sum(F.when(F.col("__r.i") == i, F.col("__v") * F.col("__r.w"))).alias(f"__q{i}") for i in range(len(probs))])
     return out.select(*by, "n", "n_distinct", F.array(*[F.col(f"__q{i}") for i in range(len(probs))]).alias("q"))

@@ -13,8 +13,9 @@ from demandgrid.functions.core import (
     series_window, stack, text_columns,
 )
 from demandgrid.functions.moments import pair_correlations
-from demandgrid.functions.quantiles import exact_quantiles, series_quantile
+from demandgrid.functions.quantiles import before_each, exact_quantiles, in_ranges, series_quantile
 from demandgrid.operators.similarity import top_similar
+from demandgrid.session import cut_lineage
 
 # Class borders of the ADI / CV-squared scheme.
 ADI_BORDER, CV2_BORDER = 1.32, 0.49
@@ -161,7 +162,7 @@ def zero_run_mean(panel: DataFrame, key: str = ID, y: str = Y, start: str = "fir
 
 def mean_demand_distribution(panel: DataFrame, key: str = ID, y: str = Y) -> DataFrame:
     """Quantiles, extremes and spread of the per-series means."""
-    means = panel.groupBy(key).agg(F.avg(y).alias("m"))
+    means = cut_lineage(panel.groupBy(key).agg(F.avg(y).alias("m")))   # a row per series, read twice
     qs = exact_quantiles(means, "m", [0.05, 0.1, 0.5, 0.9, 0.95])
     names = ["q_05", "q_10", "q_50", "q_90", "q_95"]
     agg = means.agg(F.min("m").alias("min"), F.avg("m").alias("mean"), F.max("m").alias("max"),
@@ -291,7 +292,7 @@ def price_stats(df: DataFrame, price: str = "sell_price") -> DataFrame:
     Rows collapse to distinct prices; every figure is read off those.
     """
     p, n = F.col("__p"), F.col("n")
-    counts = df.groupBy(q(price).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(df.groupBy(q(price).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("n")))
     on, off = p > 0, p == 0
     n_on = F.coalesce(F.sum(F.when(on, n)), F.lit(0))
     n_off = F.coalesce(F.sum(F.when(off, n)), F.lit(0))
@@ -320,16 +321,17 @@ def price_bins(df: DataFrame, price: str = "sell_price", y: str = Y) -> DataFram
 
     Fewer than five distinct prices have no fifths: all rows are then one bin that says so.
     """
-    # demand collapses by price first: edges and bins work on distinct prices only
-    by_price = (df.where(q(price) > 0).groupBy(q(price).cast("double").alias("__p"))
+    # demand collapses by price first, and ranks tell the bin: a price lies up to a quantile if the first of its
+    # rows does
+    by_price = (df.where(q(price) > 0).groupBy(q(price).cast("double").alias("__p"), F.lit(0).alias("__all"))
                 .agg(F.sum(y).alias("s"), F.count(y).alias("n"), F.count(F.lit(1)).alias("rows")))
-    edges = exact_quantiles(by_price, "__p", [0.2, 0.4, 0.6, 0.8], weight="rows").select(
-        F.struct("q", "n_distinct")).scalar()
+    ranged = in_ranges(by_price, ["__all"], "__p", "rows")
+    ranked = ranged.withColumn("__first", before_each(ranged, ["__all"], "__p", "rows"))
     label = F.lit(PRICE_LABELS[4])
-    for i in (3, 2, 1, 0):
-        label = F.when(F.col("__p") <= edges["q"][i], PRICE_LABELS[i]).otherwise(label)
-    label = F.when(edges["n_distinct"] < len(PRICE_LABELS), FEW_PRICES).otherwise(label)
-    return (by_price.groupBy(label.alias("price_bin"))
+    for i, p in reversed(list(enumerate((0.2, 0.4, 0.6, 0.8)))):
+        label = F.when(F.col("__first") <= F.floor(F.lit(p) * (F.col("__total") - 1)), PRICE_LABELS[i]).otherwise(label)
+    label = F.when(F.col("__distinct") < len(PRICE_LABELS), FEW_PRICES).otherwise(label)
+    return (ranked.groupBy(label.alias("price_bin"))
             .agg(ratio(F.sum("s"), F.sum("n")).alias("mean_y"), F.sum("n").alias("n_rows")))
 
 

@@ -21,15 +21,20 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SEGMENT = 1 << 20        # characters of a text that are split at once
 LONG_PIECE = 64          # bytes; from here on a pre-token has a queue of its own
-PART = 1 << 24           # characters of a batch whose pre-tokens share a queue
-REMEMBERED = 1 << 18     # pre-tokens, and stretches, a worker keeps from part to part
+PART = 1 << 24           # bytes of a batch whose pre-tokens share a queue
+REMEMBERED = 1 << 17     # pre-tokens a worker keeps from part to part
 FORGOTTEN_AFTER = 64     # parts, so that memory follows the texts
+END = (".", ",")
+GATHERED = 1 << 20       # entries whose bytes are gathered at once
+# white space of any script before a space
+SPACE_BEHIND_BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 BLANK_BEFORE_SPACE = re.compile(r"\s ")
 AFTER_INK = re.compile(r"(?<=\S)(?= )")
 BITS = [1 << i for i in range(256)]
@@ -77,8 +82,10 @@ class Vocabulary:
         self.pair_ranks = np.array([pairs[k] for k in sorted(pairs)] or [-1], np.int32)
         self.bytes = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         self.pieces: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
         self.parts = 0
+        self.table: bytes | None = None
+        # may words of plain letters be told apart from a full stop or comma without a search?
+        self.plain = [self.split.findall(x) for x in (" ab", " ab.", " ab,")] == [[" ab"], [" ab", "."], [" ab", ","]]
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token, by a queue of its own."""
@@ -190,64 +197,142 @@ class Vocabulary:
         stops = (np.cumsum(np.bincount(owner[alive], minlength=len(pieces))) * 4).tolist()
         return [ids[a:b] for a, b in zip([0, *stops], stops)]
 
-    def _learn(self, stretches: list[str]) -> list[list[str]]:
-        """The pre-tokens of each stretch, all of which ``pieces`` holds from then on."""
-        parts = [self.split.findall(x) for x in stretches]
-        new = set(chain.from_iterable(parts)).difference(self.pieces)
+    def _learn(self, pieces: set[str]) -> None:
+        """Have ``pieces`` hold all of these."""
         short = []
-        for p in new:
-            raw = p.encode()
-            if raw in self.ranks or len(raw) >= LONG_PIECE:
-                self.pieces[p] = np.array(self.merge(raw), "<u4").tobytes()
-            else:
-                short.append(p)
+        for p in pieces:
+            if p not in self.pieces:
+                raw = p.encode()
+                if raw in self.ranks:
+                    self.pieces[p] = self.ranks[raw].to_bytes(4, "little")
+                elif len(raw) >= LONG_PIECE:
+                    self.pieces[p] = np.array(self.merge(raw), "<u4").tobytes()
+                else:
+                    short.append(p)
         self.pieces.update(zip(short, self.merge_many([p.encode() for p in short])))
-        return parts
+
+    def _packed(self, names: list[str], whole: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of stretches, named without their leading space, and of strings as they are.  Words of plain letters,
+        alone or before a full stop or comma, need no search."""
+        alone, ended, rest = [], [], []
+        for i, x in enumerate(names):
+            kind = rest
+            if self.plain and x.isascii():
+                if x.isalpha():
+                    kind = alone
+                elif x[-1:] in END and x[:-1].isalpha():
+                    kind = ended
+            kind.append(i)
+        words = [" " + names[i] for i in alone]
+        stems = [" " + names[i][:-1] for i in ended]
+        parts = list(map(self.split.findall, chain((" " + names[i] for i in rest), whole)))
+        needed = set(words)
+        needed.update(stems, END if ended else (), chain.from_iterable(parts))
+        self._learn(needed)
+        piece, out = self.pieces, [b""] * len(names)
+        for i, x in zip(alone, words):
+            out[i] = piece[x]
+        for i, x in zip(ended, stems):
+            out[i] = piece[x] + piece[names[i][-1]]
+        found = [b"".join(map(piece.__getitem__, p)) for p in parts]
+        for i, x in zip(rest, found):
+            out[i] = x
+        return out, found[len(rest):]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers.
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return self.encode_array(pa.array(texts, pa.string())).to_pylist()
+
+    def encode_array(self, texts: pa.Array) -> pa.Array:
+        """The same from and to Arrow.
 
         No pre-token has a space after another character than white space.  Texts can therefore be taken apart
-        there, and the stretches between, mostly a word with its punctuation, be looked up whole.  A stretch is
-        named without its leading space; the start of a text, which has none, is kept apart."""
-        packed, at = [], 0
+        there, and the stretches between, mostly a word with its punctuation, be looked up whole.  A batch is split and
+        its different stretches numbered by Arrow; only these are merged, and the ids of all texts are gathered by
+        number.  A stretch is named without its leading space; the start of a text, which has none, is kept apart.
+        Texts with a space behind white space are taken apart one by one."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        parts, at = [], 0
         while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size < PART):
-                size += len(texts[end] or "")
-                end += 1
-            packed += self._encode_part(texts[at:end])
+            most = (ends[at - 1] if at else 0) + PART
+            end = max(at + 1, int(np.searchsorted(ends, most, side="right")))
+            parts.append(self._encode_part(texts.slice(at, end - at)))
             at = end
-        return packed
-
-    def _encode_part(self, texts: list[str | None]) -> list[bytes]:
-        seen, heads = set(), set()
-        for text in texts:
-            for head, stretches in _taken_apart(text or ""):
-                heads.add(head)
-                seen.update(stretches)
-        new, heads = list(seen.difference(self.stretches)), list(heads)
-        piece = self.pieces.__getitem__
-        packed = [b"".join(map(piece, p)) for p in self._learn([*heads, *(" " + x for x in new)])]
-        start = dict(zip(heads, packed))
-        self.stretches.update(zip(new, packed[len(heads):]))
-        of = self.stretches.__getitem__
-        result = [b"".join(chain.from_iterable(
-            (start[head], *map(of, stretches)) for head, stretches in _taken_apart(text or ""))) for text in texts]
-        for x in new:
-            if "\n" in x or len(x) >= LONG_PIECE:
-                del self.stretches[x]
+        pa.default_memory_pool().release_unused()
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    def _encode_part(self, texts: pa.Array) -> pa.Array:
+        odd = pc.match_substring_regex(texts, SPACE_BEHIND_BLANK)
+        lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        first = lists.offsets.to_numpy().astype(np.int64)
+        numbered = lists.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
+        first -= first[0]
+        names = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()   # much faster than to_pylist
+        numbers = numbered.indices.to_numpy().copy()
+        heads = [names[i] for i in numbers[first[:-1]].tolist()]
+        # heads, and whole texts with odd spaces, are numbered behind the stretches
+        numbers[first[:-1]] = np.arange(len(names), len(names) + len(texts))
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        apart = [[y for h, x in _taken_apart(text) for y in (h, *(" " + z for z in x))] for text in texts.filter(odd).to_pylist()]
+        entries, more = self._packed(names, [*heads, *chain.from_iterable(apart)])
+        starts, rest = more[:len(heads)], iter(more[len(heads):])
+        for i, x in zip(at, apart):
+            starts[i] = b"".join(islice(rest, len(x)))
+        entries += starts
+        self._forget()
+        return _gathered(b"".join(entries), np.fromiter(map(len, entries), np.int64, len(entries)), numbers, first, 4)
+
+    def _forget(self) -> None:
+        """Keep the pre-tokens met first, among which are the frequent ones."""
         self.parts += 1
-        for memory in (self.stretches, self.pieces):
-            if self.parts % FORGOTTEN_AFTER == 0:
-                memory.clear()
-            elif len(memory) > REMEMBERED:  # frequent ones came first
-                for x in list(islice(memory, REMEMBERED, None)):
-                    del memory[x]
-        return result
+        if self.parts % FORGOTTEN_AFTER == 0:
+            self.pieces.clear()
+        elif len(self.pieces) > REMEMBERED:
+            self.pieces = dict(islice(self.pieces.items(), REMEMBERED))
 
     def decode(self, ids: bytes | None) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+        return self.decode_array(pa.array([ids], pa.binary()))[0].as_py()
+
+    def decode_array(self, ids: pa.Array) -> pa.Array:
+        """Bytes of packed ids, gathered from one table of all tokens."""
+        if self.table is None:
+            tokens = [self.tokens.get(i, b"") for i in range(self.n)]
+            self.table = b"".join(tokens)
+        ids, parts, at = pc.fill_null(ids, b""), [], 0
+        ends = np.cumsum(pc.binary_length(ids).to_numpy(zero_copy_only=False), dtype=np.int64)
+        while at < len(ids):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, side="right")))
+            some = ids.slice(at, end - at)
+            numbers = np.frombuffer(b"".join(some.to_pylist()), "<u4")
+            if len(numbers) and (numbers.max() >= self.n or not self.lengths[numbers].all()):
+                raise KeyError("an id without a token")
+            first = np.concatenate(([0], (ends[at:end] - (ends[at - 1] if at else 0)) >> 2))
+            parts.append(_gathered(self.table, self.lengths, numbers, first, 1))
+            at = end
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
+def _gathered(table: bytes, sizes: np.ndarray, numbers: np.ndarray, first: np.ndarray, width: int) -> pa.Array:
+    """Byte strings: row r is the entries ``numbers[first[r]:first[r + 1]]`` of the table behind one another.  All
+    entries have a multiple of ``width`` bytes."""
+    kind = np.uint32 if width == 4 else np.uint8
+    units = sizes // width
+    starts = np.cumsum(units) - units
+    n = units.take(numbers)
+    ends = np.cumsum(n)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, kind)
+    source, whole = np.frombuffer(table, kind), np.concatenate(([0], ends))
+    for a in range(0, len(numbers), GATHERED):   # bounds the size of the positions
+        b = min(a + GATHERED, len(numbers))
+        some = n[a:b]
+        at = np.arange(whole[b] - whole[a]) + np.repeat(starts.take(numbers[a:b]) - (whole[a:b] - whole[a]), some)
+        out[whole[a]:whole[b]] = source.take(at)
+    offsets = whole.take(first) * width
+    if offsets[-1] >= 1 << 31:
+        raw = out.tobytes()
+        return pa.array([raw[a:b] for a, b in zip(offsets.tolist(), offsets.tolist()[1:])], pa.large_binary()).cast(pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
 
 
 def _taken_apart(text: str):
@@ -285,7 +370,7 @@ class Tokenizer:
 
         @F.arrow_udf("binary")
         def encode(texts: pa.Array) -> pa.Array:
-            return pa.array(of().encode(texts.to_pylist()), pa.binary())
+            return of().encode_array(texts)
 
         return encode(text)
 
@@ -308,8 +393,7 @@ class Tokenizer:
 
         @F.arrow_udf("binary")
         def decode(column: pa.Array) -> pa.Array:
-            v = of()
-            return pa.array([v.decode(x.as_py()) for x in column], pa.binary())
+            return of().decode_array(column)
 
         return decode(ids)
 

@@ -135,7 +135,7 @@ class _Rows(dict):
         self.used += 1
         return self.used - 1
 
-    def trim(self, most: int = 1 << 18) -> None:
+    def trim(self, most: int = 1 << 17) -> None:
         if self.used - self.start > most:
             self.clear()
             self.update(self.model.words)

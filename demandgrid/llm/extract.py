@@ -7,7 +7,7 @@ forms, notices and comments inside.
 
 Defined results: a null or empty page, or one without text, gives an empty text; broken markup is repaired as far as
 tags can be matched; a page without any element is taken as one block.  Pages are judged one by one: repeated rows and
-extra columns don't matter, and a page costs time in proportion to its length."""
+extra columns don't matter, and a page costs time in proportion to its length, whatever is left open in it."""
 
 from __future__ import annotations
 
@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"</?([a-zA-Z][^\s/<>]*)")
+STOP = re.compile("[>\"']")
+DEEPEST = 512   # elements nested deeper lie beside one another, as browsers have it; no text is lost
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 PARTS = re.compile(r"[a-z]+|\d+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -44,6 +44,12 @@ UNWANTED = set(
     "social related recommended recommendations sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer "
     "foot header masthead comment comments commentlist disqus reply replies respond discussion pagination pager widget "
     "toolbar skip form outbrain taboola teaser byline".split())
+# of UNWANTED: names that also stand on parts of an article; they remove nothing that holds its paragraphs
+WEAK = set("social related recommended teaser byline rail widget toolbar skip promo promotion share sharing head header notice alert "
+           "discussion respond".split())
+# of UNWANTED: names whose first word tells what a part is (nav-list), where else the last one does (main-nav)
+FIRST = set("ad ads adv advert adverts advertisement cookie cookies consent gdpr newsletter sidebar nav navbar menu breadcrumb breadcrumbs "
+            "footer header comment comments disqus share sharing related pagination pager popup modal sponsored".split())
 REPLIES = set("comment comments commentlist disqus reply replies respond discussion".split())
 SPARED = set("form fieldset label header".split())  # of DROPPED: tags that also wrap whole pages
 WANTED = set("article content entry main post story text body prose blog".split())
@@ -52,22 +58,39 @@ BASE = {"article": 20, "main": 10, "section": 5, "div": 3, "td": 3, "blockquote"
 
 
 class Element:
-    __slots__ = ("tag", "parent", "parts", "names", "unwanted", "sparable", "score", "length", "linked")
+    __slots__ = ("tag", "parent", "parts", "names", "unwanted", "sparable", "weak", "depth", "score", "length", "linked")
 
     def __init__(self, tag: str, parent: Element | None, names: frozenset[str] = frozenset(), unwanted: bool = False):
         self.tag, self.parent, self.names, self.unwanted = tag, parent, names, unwanted
-        self.sparable = False
+        self.sparable = self.weak = False
+        self.depth = parent.depth + 1 if parent is not None else 0
         self.parts: list = []
         self.score, self.length, self.linked = 0.0, 0, 0
 
 
+def _meaning(value: str) -> tuple[set[str], set[str]]:
+    """Words of a class or id, and those of them that tell what the element is."""
+    words, telling = set(), set()
+    for token in value.split():
+        parts = PARTS.findall(CAMEL.sub(" ", token).lower())
+        words.update(parts)
+        if parts:
+            telling.add("".join(parts))
+            telling.add(next((x for x in reversed(parts) if not x.isdigit()), parts[-1]))
+            if parts[0] in FIRST:
+                telling.add(parts[0])
+    return words, telling
+
+
 def _element(tag: str, attributes: str, parent: Element) -> Element:
-    names, hidden = set(), False
+    names, telling, hidden = set(), set(), False
     if attributes and not attributes.isspace():
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
-                names.update(PARTS.findall(CAMEL.sub(" ", value).lower()))
+                words, what = _meaning(value)
+                names |= words
+                telling |= what
             elif name == "role":
                 hidden |= value.lower() in ROLES
             elif name == "style":
@@ -76,28 +99,83 @@ def _element(tag: str, attributes: str, parent: Element) -> Element:
                 hidden |= value.lower() == "true"
             else:
                 hidden = True
-    named = bool(names & UNWANTED) and not (tag in ("body", "html", "main") or tag == "article" and not names & {"comment", "comments", "reply"})
+    said = telling & UNWANTED
+    named = bool(said) and not (tag in ("body", "html", "main") or tag == "article" and not names & {"comment", "comments", "reply"})
     e = Element(tag, parent, frozenset(names), tag in DROPPED or hidden or named)
     e.sparable = e.unwanted and not hidden and (tag not in DROPPED or tag in SPARED)
+    e.weak = e.sparable and said <= WEAK and tag not in DROPPED
     return e
 
 
+class _Page:
+    """Finds tags in time proportional to the page, whatever is left open."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.lower: str | None = None
+        self.closings: dict[str, int] = {}
+
+    def tag_end(self, i: int) -> int:
+        """Place of the > that ends the tag whose attributes begin at ``i``; a quote that isn't closed is none."""
+        page, last = self.page, self.last
+        start = i
+        while m := STOP.search(page, i):
+            c, at = m.group(), m.start()
+            if c == ">":
+                return at
+            if at >= last[c]:
+                return page.find(">", at)
+            i = page.find(c, at + 1) + 1
+            if i > last[">"]:
+                break
+        return page.find(">", start)
+
+    def closing(self, tag: str, i: int) -> int:
+        """Place of the next end tag of the kind, -1 if there is none; one search tells that for the rest of the page."""
+        if self.lower is None:
+            low = self.page.lower()
+            self.lower = low if len(low) == len(self.page) else self.page
+        if tag not in self.closings:
+            self.closings[tag] = self.lower.rfind(f"</{tag}")
+        return self.lower.find(f"</{tag}", i) if i <= self.closings[tag] else -1
+
+
 def parse(page: str) -> Element:
     """The tree of a page; text lies in ``parts`` between the elements, references decoded."""
     root = Element("html", None)
-    at, open_, i, lower = root, {}, 0, None
-    while i < len(page):
-        m = MARKUP.search(page, i)
-        text = page[i:m.start()] if m else page[i:]
+    at, open_, i, tags = root, {}, 0, _Page(page)
+
+    def say(text: str) -> None:
         if text:
             at.parts.append(html.unescape(text) if "&" in text else text)
-        if not m:
+
+    while i < len(page):
+        cut = page.find("<", i)
+        if cut < 0 or cut > tags.last[">"] and not page.startswith(("<!--", "<![CDATA["), cut):
+            say(page[i:])   # nothing ends from here on
             break
-        i = m.end()
-        if m[2] is None:
+        head = TAG.match(page, cut)
+        if page.startswith("<!--", cut) or page.startswith("<![CDATA[", cut):
+            say(page[i:cut])
+            mark = "-->" if page[cut + 2] == "-" else "]]>"
+            end = page.find(mark, cut + 4)
+            if end < 0:
+                break
+            i = end + len(mark)
+            continue
+        if page[cut + 1:cut + 2] in ("!", "?"):
+            say(page[i:cut])
+            i = page.find(">", cut) + 1
+            continue
+        end = tags.tag_end(head.end()) if head else -1
+        if end < 0:
+            say(page[i:cut + 1])
+            i = cut + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
+        say(page[i:cut])
+        i, tag, attributes = end + 1, head[1].lower(), page[head.end():end]
+        if page[cut + 1] == "/":
             if tag == "br" or not open_.get(tag):
                 if tag in ("br", "p"):
                     at.parts.append(Element("br", at))
@@ -109,10 +187,9 @@ def parse(page: str) -> Element:
             at = at.parent
             continue
         if tag in RAW:
-            if m[3].endswith("/") and tag in OPAQUE:
+            if attributes.endswith("/") and tag in OPAQUE:
                 continue
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", i) if len(lower) == len(page) else page.find(f"</{tag}", i)
+            end = tags.closing(tag, i)
             if end < 0 and tag in OPAQUE:
                 continue
             if end < 0:
@@ -142,9 +219,9 @@ def parse(page: str) -> Element:
                     open_[at.tag] -= 1
                     at = at.parent
                 up = at
-        child = _element(tag, m[3], at)
+        child = _element(tag, attributes, at)
         at.parts.append(child)
-        if not m[3].endswith("/") or tag in BLOCK or tag == "a":
+        if at.depth < DEEPEST and (not attributes.endswith("/") or tag in BLOCK or tag == "a"):
             open_[tag] = open_.get(tag, 0) + 1
             at = child
     return root
@@ -173,11 +250,20 @@ def _spare(root: Element) -> None:
     for e in order:
         if e.sparable and not e.names & REPLIES and 2 * held[id(e)] > held[id(root)]:
             e.unwanted = False
+        if e.weak and held[id(e)] and _inside_article(e):
+            e.unwanted = False
     if not _blocks(root):
         for e in order:
             e.unwanted &= not e.sparable
 
 
+def _inside_article(e: Element) -> bool:
+    up = e.parent
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    return up is not None
+
+
 def _walk(root: Element):
     """Elements that aren't unwanted, parents first."""
     stack = [root]
@@ -284,19 +370,39 @@ def main_text(page: str | None) -> str:
             best = up
         up = up.parent
     kept = [best]
-    if best.parent is not None:
+    if best.parent is not None and best.tag not in ("article", "main"):
         least = max(10.0, 0.2 * best.score)
-        kept = [x for x in best.parent.parts if not isinstance(x, str) and not x.unwanted and (
-            x is best or x.score + (0.2 * best.score if x.names & best.names else 0) >= least and _density(x) < 0.25
-            or x.tag == "p" and x.length > 80 and _density(x) < 0.25)]
+        row = [x for x in best.parent.parts if not isinstance(x, str) and not x.unwanted]
+        more = [x is best or x.score + (0.2 * best.score if x.names & best.names else 0) >= least and _density(x) < 0.25
+                or x.tag == "p" and x.length > 80 and _density(x) < 0.25
+                or x.tag == best.tag == "section" and x.length > 0 and _density(x) < 0.25 for x in row]
+        first, last = more.index(True), len(more) - 1 - more[::-1].index(True)
+        if first and row[first - 1].tag in HEADINGS and _density(row[first - 1]) < 0.5:   # the title above
+            first -= 1
+        # what stands between parts of an article belongs to it, and so do the paragraphs that go on behind it
+        while last + 1 < len(row) and row[last + 1].tag in PROSE and 0 < row[last + 1].length and _density(row[last + 1]) < 0.25:
+            last += 1
+        kept = [x for i, x in enumerate(row) if first <= i <= last and (more[i] or x.tag in PROSE or x.tag in HEADINGS or not _is_menu(x))]
     texts = []
     for top in kept:
-        lists = {id(e) for e in _walk(top) if e is not top and e.tag in ("ul", "ol", "div", "table", "section", "dl")
-                 and _density(e) > 0.6 and e.length > 0}
+        plain = top.tag not in ("article", "main") and not top.names & WANTED
+        lists = {id(e) for e in _walk(top) if e is not top and _is_menu(e)} if plain else frozenset()
         texts.extend(t for _, t in _blocks(top, lists))
     return " ".join(texts)
 
 
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+PROSE = set("p blockquote pre figure".split())
+
+
+def _is_menu(e: Element) -> bool:
+    """A list or box of nothing but short links."""
+    if e.tag not in ("ul", "ol", "div", "table", "section", "dl", "nav") or _density(e) <= 0.9:
+        return False
+    links = [x.length for x in _walk(e) if x.tag == "a"]
+    return len(links) > 1 and sum(links) < 25 * len(links)
+
+
 def extract_text(page: Column) -> Column:
     """Main text of an HTML column; never null."""
 

@@ -6,7 +6,7 @@ source then lies less than one block from its share.  The schedule repeats after
 long as the weights' sum and thus a parameter, is worked out on the driver; documents find their slot by arithmetic.
 
 Nothing is dropped or repeated: when a source has run out, the others go on by their own weights in a new phase, of
-which there are as many as sources at most.  Within a source the order is a hash of the key.
+which there are as many as sources at most.  Within a source the order is a hash of key and text.
 
 Defined results: a source outside the recipe (null included) belongs to the pool ``other``, a null key is hashed like
 an empty one, a null text has size 0, and rows that agree in key and text follow each other in any order.  A document
@@ -106,7 +106,8 @@ def mix(df: DataFrame, weights: dict[str, int], *, key: str = "doc_id", source:
     pool = F.when(F.col(source).isin([s for s in weights if s != OTHER]), F.col(source)).otherwise(F.lit(OTHER))
     rows = df.select(
         *([F.struct("*").alias("row")] if keep else []), F.col(key).alias("__key"), pool.alias("__pool"),
-        F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("__h"),
+        # key and text together, so that rows of one key, or without one, don't meet in one cell of the ranking
+        F.md5(F.concat_ws(" ", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))).alias("__h"),
         F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("__size"),
         F.xxhash64(F.col(text)).alias("__t"))
     placed = spread_rank(rows, ["__pool"], ["__h", "__size", "__t"], start="__offset", size="__size")

@@ -5,8 +5,9 @@ ratio, on at least ``min_pages`` pages, are boilerplate and go from every page o
 count as one page, in both numbers, so a page copied a thousand times doesn't turn into boilerplate.
 
 What moves: per page 16 bytes for each distinct line, pre-summed before the exchange; then the few boilerplate lines
-of each host, whose number is at most (lines per page) / ratio, join the pages.  A hot host is split by the adaptive
-join; no page list is ever gathered.
+of each host, whose number is at most (lines per page) / ratio, join the pages.  They are written first: up to
+``MOST_BYTES`` of them are broadcast, and no page moves; more of them go to pages dealt by host and text, ``SPLIT`` tasks
+for each host.  No page list is ever gathered.
 
 Defined results: lines are cut at newlines and compared whole; lines without a character other than white space are
 never dropped; a null text stays null with no lines; a null host is a host of its own; equal rows give equal rows;
@@ -17,10 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.base import fingerprint128, let
+from demandgrid.llm.base import fingerprint128, let, materialise
 from demandgrid.llm.quality import BLANKS
 
 
+MOST_BYTES = 4 << 20   # of boilerplate fingerprints that are broadcast
+SPLIT = 64             # shares of a host where they aren't
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -50,9 +55,17 @@ def drop_boilerplate(df: DataFrame, *, text: str = "text", host: str = "source",
 
     ``most``: a page of which more than this share of the characters would go stays whole.  It is one of many near
     copies, whose shared lines are their content; near-duplicate removal leaves one of them."""
-    marks = boilerplate(df, text, host, ratio=ratio, min_pages=min_pages)
+    marks = materialise(boilerplate(df, text, host, ratio=ratio, min_pages=min_pages))
     rows = df.select(F.struct("*").alias("row"), F.col(host).alias("rh"), F.col(text).alias("t"))
-    joined = rows.join(marks, F.col("rh").eqNullSafe(F.col("h")), "left")
+    size = marks.agg(F.coalesce(F.sum(F.size("marks") * 16 + F.coalesce(F.octet_length(F.col("h").cast("string")), F.lit(0)) + 64),
+                                F.lit(0))).first()[0]
+    same = F.col("rh").eqNullSafe(F.col("h"))
+    if size <= MOST_BYTES:
+        joined = rows.join(F.broadcast(marks), same, "left")
+    else:
+        shares = marks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("t"), F.lit(SPLIT)).cast("int"))
+        joined = rows.join(shares, same & (F.col("part") == F.col("share")), "left")
     kept = F.when(F.col("marks").isNull(), _lines(F.col("t"))).otherwise(
         F.filter(_lines(F.col("t")), lambda x: ~F.array_contains(F.col("marks"), fingerprint128(x))
                  | (F.translate(x, BLANKS, "") == "")))

@@ -1,8 +1,9 @@
 """Sharding by balanced label propagation (operator 8).
 
-Documents with equal text are linked.  Everyone starts on a shard by hash.  Round by round each linked document asks
-for the shard, among those with room, that holds most of its neighbours; of the documents that ask for a shard only
-the share that fits its room may move, drawn by hash, so a group larger than a shard fills one shard after another.
+Documents with equal text are linked.  They are dealt to the shards in the order of a hash.  Round by round each linked document asks
+for the shard that holds most of its neighbours, at first among those with room, so that a group larger than a shard fills
+one shard after another, and when nothing moves any more among all.  Of the documents that ask to go from one shard to
+another as many may, the first by hash, as there is room for or as ask to come back, directly or round a circle of shards.
 At the end documents without links, which no cut edge depends on, level the shards out: the numbers of rows of any two
 shards differ by one at most (law ``rows``).
 
@@ -22,55 +23,109 @@ from demandgrid.llm.base import materialise, spread_rank
 LAW = "rows"
 
 
-def _moved(linked: DataFrame, counts: dict[int, int], quota: list[int], turn: int) -> tuple[DataFrame, int]:
-    """One round: the documents with new labels, and how many asked to move."""
+def _granted(wishes: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the documents that ask to go from one shard to another may: shards exchange equal numbers in pairs,
+    then round longer circles, and shards with room take in more, which leaves room where these come from."""
+    out = {(a, b): min(n, wishes.get((b, a), 0)) for (a, b), n in wishes.items()}
+    left = {k: n - out[k] for k, n in wishes.items() if n > out[k]}
+
+    def circle() -> list[tuple[int, int]] | None:
+        """Wishes that lead from a shard back to it."""
+        done: set[int] = set()
+        for start in sorted({a for a, _ in left}):
+            path, on = [start], {start}
+            while path:
+                a = path[-1]
+                b = next((y for x, y in sorted(left) if x == a and y not in done), None)
+                if b is None:
+                    done.add(path.pop())
+                    on.discard(a)
+                elif b in on:
+                    nodes = [*path[path.index(b):], b]
+                    return list(zip(nodes, nodes[1:]))
+                else:
+                    path.append(b)
+                    on.add(b)
+        return None
+
+    while found := circle():
+        n = min(left[k] for k in found)
+        for k in found:
+            out[k] += n
+            left[k] -= n
+            if not left[k]:
+                del left[k]
+    room, moved = list(room), True
+    while moved:
+        moved = False
+        for a, b in sorted(left):
+            more = min(left[a, b], room[b])
+            if more > 0:
+                out[a, b] += more
+                left[a, b] -= more
+                room[b] -= more
+                room[a] += more
+                moved = True
+    return {k: n for k, n in out.items() if n}
+
+
+def _moved(linked: DataFrame, counts: dict[int, int], quota: list[int], turn: int,
+           exchange: bool) -> tuple[DataFrame, int]:
+    """One round: the documents with new labels, and how many moved.  At first shards with room are asked for, then any."""
     room = [q - counts.get(s, 0) for s, q in enumerate(quota)]
-    open_ = [s for s, r in enumerate(room) if r > 0.01 * quota[s]]
+    open_ = [s for s, r in enumerate(room) if exchange or r > 0]
     if not open_:
         return linked, 0
-    is_open = F.col("label").isin(open_)
     cells = linked.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
+    # ties fall another way every round: a document whose wish met no counterpart waits for its neighbour's
+    # a shard that a group fills takes no more of it, so that its others gather in the next one
+    growing = (F.col("n") < quota[-1]) & F.col("label").isin(open_)
     groups = cells.groupBy("g").agg(  # a cell per shard at most
         F.collect_list(F.struct("label", "n")).alias("cells"),
-        F.max(F.when(is_open, F.struct("n", F.xxhash64("g", "label").alias("tie"), "label"))).alias("best"))
+        F.max(F.when(growing, F.struct("n", F.xxhash64("g", "label", F.lit(turn)).alias("tie"), "label"))).alias("best"))
     own = F.filter("cells", lambda c: c["label"] == F.col("label"))[0]["n"]
-    # a full shard is left for an open one that holds as many; the best open one is no worse than any open one
-    asked = linked.join(groups, "g").withColumn("to", F.when(F.col("best.n") >= own, F.col("best.label"))
-                                                .otherwise(F.col("label"))).drop("cells", "best")
+    asked = linked.join(groups, "g").withColumn(
+        "to", F.when((F.col("best.n") >= own) & (own < quota[-1]), F.col("best.label")).otherwise(F.col("label"))).drop("cells", "best")
     asked = materialise(asked)
-    wishes = {r["to"]: r["n"] for r in asked.where(F.col("to") != F.col("label")).groupBy("to")
-              .agg(F.count(F.lit(1)).alias("n")).collect()}
-    part = F.lit(0.0)
-    for s, n in wishes.items():
-        part = F.when(F.col("to") == s, min(1.0, room[s] / n)).otherwise(part)
-    drawn = F.xxhash64("h", F.lit(turn)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    moved = asked.withColumn("label", F.when((F.col("to") != F.col("label")) & (drawn < part), F.col("to"))
-                             .otherwise(F.col("label"))).drop("to")
-    return moved, sum(wishes.values())
-
-
-def shard(df: DataFrame, *, key: str = "doc_id", text: str = "text", n_shards: int = 16, rounds: int = 12) -> DataFrame:
+    wishes = {(r["label"], r["to"]): r["n"] for r in asked.where(F.col("to") != F.col("label")).groupBy("label", "to")
+              .agg(F.count(F.lit(1)).alias("n")).collect()}   # a row per pair of shards
+    granted = _granted(wishes, room)
+    if not granted:
+        return asked.drop("to"), 0
+    may = F.create_map(*[x for (a, b), n in granted.items() for x in (F.lit(a * len(quota) + b), F.lit(n))])
+    # members of groups larger than a shard ask last
+    ranked = spread_rank(asked.where(F.col("to") != F.col("label")), ["label", "to"], ["h"])
+    goes = F.col("position") < F.coalesce(F.try_element_at(may, F.col("label") * len(quota) + F.col("to")), F.lit(0))
+    ranked = ranked.withColumn("label", F.when(goes, F.col("to")).otherwise(F.col("label"))).drop("position", "to")
+    stay = asked.where(F.col("to") == F.col("label")).drop("to")
+    return stay.unionByName(ranked), sum(granted.values())
+
+
+def shard(df: DataFrame, *, key: str = "doc_id", text: str = "text", n_shards: int = 16, rounds: int = 20) -> DataFrame:
     """Key, size, text_crc32, law, shard, slot and grown_shard (null, as this law deals anew when a shard is added)."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = materialise(df.select(
         F.col(key).alias("k"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("crc"),
         F.md5(t).alias("g"), F.md5(F.concat_ws(" ", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(t))).alias("h")))
-    rows = rows.withColumn("label", F.pmod(F.xxhash64("h"), F.lit(n_shards)).cast("int"))
     groups = materialise(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
     total = rows.count()
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     # members of groups larger than a shard, which are cut anyway, come last: a full shard gives those away first
     late = F.concat(F.when(F.col("n") > quota[-1], "f").otherwise("0"), F.col("h"))
-    linked = materialise(rows.join(groups, "g").select("k", "size", "crc", "g", late.alias("h"), "label"))
+    linked = rows.join(groups, "g").select("k", "size", "crc", "g", late.alias("h"), F.lit(0).alias("one"))
+    dealt = (F.col("position") % n_shards).cast("int")
+    linked = materialise(spread_rank(linked, ["one"], ["h"]).select("k", "size", "crc", "g", "h", dealt.alias("label")))
 
     def load() -> dict[int, int]:
         return {r["label"]: r["n"] for r in linked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
 
+    exchange = False
     for turn in range(rounds):
-        linked, wishes = _moved(linked, load(), quota, turn)
+        linked, n = _moved(linked, load(), quota, turn, exchange)
         linked = materialise(linked)
-        if not wishes:
+        if not n and exchange:
             break
+        exchange |= not n
     stay = [min(load().get(s, 0), q) for s, q in enumerate(quota)] if total else quota
     placed = spread_rank(linked, ["label"], ["h"])
     fits = F.lit(False)

@@ -183,6 +183,19 @@ def experiment_log(spark, sf):
     return files.read_experiments(spark, path).drop("logged_at")
 
 
+@query("repeated_runs", with_panel("""
+SELECT year::VARCHAR AS run, unique_id, y::BIGINT AS total_y FROM (SELECT year(ds) AS year, unique_id, sum(y) AS y FROM panel GROUP BY 1, 2)
+WHERE year BETWEEN 1996 AND 1999"""))
+def repeated_runs(spark, sf):
+    """Yearly totals appended as runs, two of them twice and one never finished; each is read once."""
+    path = scratch(spark)
+    totals = b.panel(spark, sf).groupBy(F.year(DS).alias("year"), ID).agg(F.sum(Y).alias("total_y"))
+    for year in (1996, 1997, 1996, 1998, 1999, 1999):
+        files.append_run(totals.where(F.col("year") == year).drop("year"), path, str(year))
+    totals.where("year = 2000").select(ID, "total_y", F.lit("2000").alias("run")).write.mode("append").partitionBy("run").parquet(f"{path}/rows")
+    return files.read_runs(spark, path, "unique_id string, total_y bigint")
+
+
 # ---------------------------------------------------------------- projection, filter, reshape
 
 @query("filter_store_department", with_panel(f"""

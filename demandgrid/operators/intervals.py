@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from demandgrid.functions.core import DS, ID, Y, q, running, series_window
 
@@ -67,25 +66,34 @@ def rolling_stats(panel: DataFrame, windows: Sequence[int] = (7, 14, 28), lag: i
 def ewm_mean(panel: DataFrame, alpha: float, lag: int = 1, key: str = ID, y: str = Y) -> DataFrame:
     """Exponentially weighted mean of the lagged series, started at its first value (0 < alpha <= 1).
 
-    m(t) = alpha y(t) + (1 - alpha) m(t - 1) over the whole history; missing values are skipped.  A recursion
-    is no window aggregate, so each series, bounded by its days, is one Arrow batch and costs one step a day.
+    m(t) = alpha y(t) + (1 - alpha) m(t - 1) over the whole history; missing values are skipped.  Each step is an
+    affine map of m, and maps compose: within chunks of values, short enough that the weights (1 - alpha)^-i stay
+    small, a running sum of weighted values does; the maps of whole chunks, a few per series, are composed in
+    an array.  All of it uses the one exchange on the series key.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha lies in (0, 1]")
-    name = f"ewm_lag{lag}_alpha{alpha}"
-
-    def one_series(t: pa.Table) -> pa.Table:
-        t = t.sort_by(DS)
-        mean, state = [], None
-        for v in t["__v"].to_pylist():
-            if v is not None:
-                state = v if state is None else state * (1 - alpha) + v * alpha
-            mean.append(state)
-        lagged = ([None] * lag + mean)[:len(mean)]
-        return t.drop_columns(["__v"]).append_column(name, pa.array(lagged, pa.float64()))
-
-    schema = T.StructType([*panel.schema.fields, T.StructField(name, T.DoubleType())])
-    return panel.withColumn("__v", q(y).cast("double")).groupBy(key).applyInArrow(one_series, schema)
+    name, w, left = f"ewm_lag{lag}_alpha{alpha}", series_window(key), 1 - alpha
+    value = q(y).cast("double")
+    if alpha == 1:
+        last = F.last(value, ignorenulls=True).over(running(w))
+        return panel.withColumn("__m", last).withColumn(name, F.lag("__m", lag).over(w)).drop("__m")
+    size = max(1, int(18 / -math.log(left))) if left < 1 else 1
+    power = lambda n: F.pow(F.lit(left), n)
+    rows = panel.withColumn("__k", F.count(value).over(running(w)))   # values so far
+    rows = rows.withColumns({"__chunk": F.floor((F.col("__k") - 1) / size).cast("int"), "__i": F.pmod(F.col("__k") - 1, F.lit(size))})
+    share = value * F.when(F.col("__k") == 1, 1.0).otherwise(alpha) * power(-F.col("__i"))
+    inside = Window.partitionBy(key, "__chunk").orderBy(DS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__s", F.sum(share).over(inside) * power(F.col("__i")))
+    whole = rows.where((F.col("__i") == size - 1) & value.isNotNull()).groupBy(q(key).alias("__key")).agg(
+        F.sort_array(F.collect_list(F.struct("__chunk", "__s"))).alias("__ends"))
+    # the mean at the end of every whole chunk, oldest first
+    means = F.aggregate("__ends", F.array().cast("array<double>"), lambda done, e: F.concat(done, F.array(
+        e["__s"] + left ** size * F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)))))
+    rows = rows.join(whole.select("__key", means.alias("__means")), rows[key].eqNullSafe(F.col("__key")), "left")
+    before = F.when(F.col("__chunk") > 0, F.try_element_at("__means", F.col("__chunk")) * power(F.col("__i") + 1)).otherwise(0.0)
+    mean = F.when(F.col("__k") > 0, F.col("__s") + before)
+    return rows.withColumn("__m", mean).withColumn(name, F.lag("__m", lag).over(w)).select(*map(q, [*panel.columns, name]))
 
 
 def naive_errors(panel: DataFrame, key: str = ID, y: str = Y) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
 from datetime import date
 
@@ -184,3 +185,36 @@ def log_experiments(entries: DataFrame, path: str, status: str = "completed") ->
 
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(path)
+
+
+# ---------------------------------------------------------------- appends that can be repeated
+
+COMMIT_SCHEMA = "n_rows bigint, committed_at timestamp, run string"
+
+
+def append_run(df: DataFrame, path: str, run: str) -> None:
+    """Append the rows of one run; the same run again replaces them.
+
+    A run is a folder of its own, overwritten as a whole.  Its commit row is taken back first and written last, with
+    the number of rows stored, so that a run that was killed in between isn't read and can simply be repeated."""
+    if "run" in df.columns or not re.fullmatch(r"[A-Za-z0-9_.-]+", run):
+        raise ValueError("a run is named by letters, digits, _, . and -, and no column")
+    spark, base = df.sparkSession, path.rstrip("/")
+
+    def put(rows: DataFrame, folder: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/{folder}/run={run}")
+
+    def commit(n: int | None) -> None:
+        put(spark.range(1).select(F.lit(n).cast("long").alias("n_rows"), F.current_timestamp().alias("committed_at")), "commits")
+
+    commit(None)
+    put(df, "rows")
+    commit(spark.read.schema(df.schema).parquet(f"{base}/rows/run={run}").count())
+
+
+def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of all committed runs, with ``run``; ``schema`` is that of the rows appended."""
+    base = path.rstrip("/")
+    rows = spark.read.schema(f"{schema}, run string").parquet(f"{base}/rows")
+    commits = spark.read.schema(COMMIT_SCHEMA).parquet(f"{base}/commits")
+    return rows.join(commits.where(F.col("n_rows").isNotNull()), "run", "left_semi").select(*[c for c in rows.columns if c != "run"], "run")

@@ -14,15 +14,24 @@ from demandgrid.functions.core import Y, count_if, is_number, percent, q, ratio
 _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def duplicates(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row: count and percentage.
+def row_facts(df: DataFrame, good: Column | None = None) -> DataFrame:
+    """One row: rows, repeats of earlier rows, missing cells, and rows that ``good`` holds for.
 
-    Rows collapse by their full content map-side, so a row copied a million times ships once
-    per task.
+    Rows collapse by their full content map-side, so a row copied a million times ships once per task, and every figure
+    is read off the collapsed rows: one scan and one exchange for all of them.
     """
-    per = df.groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    rows, dup = F.coalesce(F.sum("__n"), F.lit(0)), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))
-    return per.agg(rows.alias("n_rows"), dup.alias("duplicates"), ratio(dup * 100, rows).alias("duplicate_pct"))
+    cells = [q(c) for c in df.columns]
+    n = F.col("__n")
+    missing = sum((c.isNull().cast("long") for c in cells), F.lit(0).cast("long"))
+    per = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("__n"))
+    return per.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(name) for name, x in (
+        ("n_rows", n), ("duplicates", n - 1), ("missing", n * missing),
+        ("good", F.when(F.lit(True) if good is None else good, n).otherwise(0)))])
+
+
+def duplicates(df: DataFrame) -> DataFrame:
+    """Rows that repeat an earlier row: count and percentage."""
+    return row_facts(df).select("n_rows", "duplicates", ratio(F.col("duplicates") * 100, F.col("n_rows")).alias("duplicate_pct"))
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -64,14 +73,11 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 def quality_report(df: DataFrame) -> DataFrame:
     """One row: rows, columns, missing cells and %, duplicates and %."""
-    missing = sum((count_if(q(c).isNull()) for c in df.columns), F.lit(0))
-    cells = df.agg(missing.alias("missing"), F.count(F.lit(1)).alias("n"))
-    dup = duplicates(df)
-    return dup.select(
-        "n_rows", F.lit(len(df.columns)).alias("n_columns"),
-        cells.select("missing").scalar().alias("missing_cells"),
-        ratio(cells.select("missing").scalar() * 100, F.col("n_rows") * len(df.columns)).alias("missing_pct"),
-        "duplicates", "duplicate_pct")
+    n, cells = F.col("n_rows"), F.col("n_rows") * len(df.columns)
+    return row_facts(df).select(
+        n, F.lit(len(df.columns)).alias("n_columns"), F.col("missing").alias("missing_cells"),
+        ratio(F.col("missing") * 100, cells).alias("missing_pct"), "duplicates",
+        ratio(F.col("duplicates") * 100, n).alias("duplicate_pct"))
 
 
 def quality_score(profile: DataFrame, dup: DataFrame, counts: bool = False) -> DataFrame:
@@ -88,17 +94,15 @@ def quality_score(profile: DataFrame, dup: DataFrame, counts: bool = False) -> D
 
 def dataset_quality(features: DataFrame, targets: DataFrame) -> DataFrame:
     """Completeness, consistency, accuracy (y not negative) and their mean, in percent."""
-    def holes(df: DataFrame) -> Column:
-        return df.agg(sum((count_if(q(c).isNull()) for c in df.columns), F.lit(0)).alias("m")).scalar()
-
-    fd, td = duplicates(features), duplicates(targets)
-    nf, nt = fd.select("n_rows").scalar(), td.select("n_rows").scalar()
-    cells = nf * len(features.columns) + nt * len(targets.columns)
-    base = targets.agg(percent(F.coalesce(F.col(Y) >= 0, F.lit(True))).alias("accuracy"))
-    out = base.select(
-        ratio((cells - holes(features) - holes(targets)) * 100, cells).alias("completeness"),
-        ratio((nf + nt - fd.select("duplicates").scalar() - td.select("duplicates").scalar()) * 100, nf + nt
-              ).alias("consistency"), "accuracy")
+    f = row_facts(features).select("n_rows", "duplicates", "missing", F.lit(len(features.columns)).alias("width"),
+                                   F.lit(None).cast("long").alias("judged"), F.lit(None).cast("long").alias("good"))
+    t = row_facts(targets, F.coalesce(F.col(Y) >= 0, F.lit(True))).select(
+        "n_rows", "duplicates", "missing", F.lit(len(targets.columns)).alias("width"), F.col("n_rows").alias("judged"), "good")
+    cells, n = F.sum(F.col("n_rows") * F.col("width")), F.sum("n_rows")
+    out = f.unionByName(t).agg(
+        ratio((cells - F.sum("missing")) * 100, cells).alias("completeness"),
+        ratio((n - F.sum("duplicates")) * 100, n).alias("consistency"),
+        ratio(F.sum("good") * 100, F.sum("judged")).alias("accuracy"))
     return out.withColumn("overall", (F.col("completeness") + F.col("consistency") + F.col("accuracy")) / 3)
 
 

@@ -404,76 +404,166 @@ def poisson_backtest(panel: DataFrame, spec: LagSpec, windows: Windows, reg: flo
 
 # ---------------------------------------------------------------- one model per series
 
-def _design(y: np.ndarray, cal: np.ndarray, known: np.ndarray, spec: LagSpec) -> np.ndarray:
-    """Feature rows of one series (NaN where history is short)."""
-    s = pd.Series(y)
-    cols = [s.shift(k) for k in spec.lags]
+STACKED = 1 << 23   # numbers of a stack of feature rows, which bounds the series fitted at once
+
+
+def _stacked_design(y: np.ndarray, cal: np.ndarray, since: np.ndarray, known: np.ndarray, spec: LagSpec) -> np.ndarray:
+    """Feature rows of many series, (series, days, features); NaN where history is short."""
+    b, t = y.shape
+
+    def back(v: np.ndarray, k: int) -> np.ndarray:
+        out = np.full_like(v, np.nan)
+        out[:, k:] = v[:, :t - k]
+        return out
+
+    cols = [back(y, k) for k in spec.lags]
     for n in spec.rolling:
-        r = s.shift(1).rolling(n)
-        cols += [r.mean() if name == "mean" else r.std() for name in spec.stats]
-    return np.column_stack([*[c.to_numpy() for c in cols], cal, known])
+        runs = np.lib.stride_tricks.sliding_window_view(y, n, axis=1) if t >= n else np.empty((b, 0, n))
+        for stat in spec.stats:
+            v = np.full((b, t), np.nan)
+            with np.errstate(all="ignore"):
+                v[:, n - 1:] = runs.mean(axis=2) if stat == "mean" else runs.std(axis=2, ddof=1)
+            cols.append(back(v, 1))
+    parts = [np.stack(cols, axis=2) if cols else np.empty((b, t, 0)), cal]
+    if spec.counters:
+        parts.append(np.stack([back(since[:, :, k], 1) for k in range(2)], axis=2))
+    return np.concatenate([*parts, known], axis=2)
+
 
+@dataclass
+class _Scales:
+    """Per series the preparation of the pooled form: price over values above zero, counters over all rows."""
+
+    mean: np.ndarray    # (series, features)
+    spread: np.ndarray
+    only_on: np.ndarray     # features scaled only where above zero
+
+    @classmethod
+    def of(cls, x: np.ndarray, rows: np.ndarray, spec: LagSpec) -> _Scales:
+        names = spec.features()
+        mean, spread = np.zeros((len(x), len(names))), np.ones((len(x), len(names)))
+        only_on = np.array([n == spec.price for n in names])
+        for i, n in enumerate(names):
+            if only_on[i] or n in (SINCE_SALE, SINCE_ZERO):
+                v = np.where(rows, x[:, :, i], 0.0)
+                use = rows & ((v > 0) | (not only_on[i]))
+                count = np.maximum(use.sum(axis=1), 1)
+                mean[:, i] = (v * use).sum(axis=1) / count
+                std = np.sqrt((((v - mean[:, i, None]) ** 2) * use).sum(axis=1) / count)
+                spread[:, i] = np.where(std > 0, std, 1.0)
+        return cls(mean, spread, only_on)
+
+    def apply(self, x: np.ndarray) -> np.ndarray:
+        mean, spread = (v if x.ndim == 2 else v[:, None] for v in (self.mean, self.spread))
+        return np.where(self.only_on & ~(x > 0), x, (x - mean) / spread)
+
+
+def _stacked_fit(z: np.ndarray, y: np.ndarray, rows: np.ndarray, family: str, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of every series from its own normal equations, and whether the fit converged."""
+    z = np.where(rows[:, :, None], np.concatenate([np.ones((*z.shape[:2], 1)), z], axis=2), 0.0)
+    y, p = np.where(rows, y, 0.0), z.shape[2]
+    penalty = alpha * np.diag([0.0] + [1.0] * (p - 1))
+
+    def solve(weight: np.ndarray, target: np.ndarray) -> np.ndarray:
+        left = (z * weight[:, :, None]).transpose(0, 2, 1)
+        gram = left @ z + penalty
+        return (np.linalg.pinv(gram, rcond=p * np.finfo(float).eps, hermitian=True) @ (left @ target[:, :, None]))[:, :, 0]
 
-def _fit_one(x: np.ndarray, y: np.ndarray, family: str, alpha: float) -> Linear:
-    z = np.column_stack([np.ones(len(x)), x])
-    pen = alpha * np.eye(z.shape[1])
-    pen[0, 0] = 0.0
     if family == "linear":
-        beta = np.linalg.lstsq(z.T @ z + pen, z.T @ y, rcond=None)[0]
-        return Linear(beta[0], beta[1:], 0.0, beta[0], beta[1:])
-    mu = np.maximum(y, 0.1) + 0.0
-    eta = np.log(mu)
-    beta = np.zeros(z.shape[1])
-    for _ in range(50):  # iteratively reweighted least squares
-        work = eta + (y - mu) / mu
-        new = np.linalg.lstsq(z.T @ (z * mu[:, None]) + pen, z.T @ (mu * work), rcond=None)[0]
-        done = np.max(np.abs(new - beta)) < 1e-9
-        beta, eta = new, np.clip(z @ new, -30, 30)
-        mu = np.exp(eta)
-        if done:
+        return solve(rows.astype(float), y), np.ones(len(y), bool)
+    mu = np.maximum(y, 0.1)
+    eta, beta, done = np.log(mu), np.zeros((len(y), p)), np.zeros(len(y), bool)
+    for _ in range(50):  # iteratively reweighted least squares, side by side
+        new = solve(mu * rows, eta + (y - mu) / mu)
+        now = np.abs(new - beta).max(axis=1) < 1e-9
+        beta = np.where(done[:, None], beta, new)
+        done |= now
+        if done.all():
             break
-    return Linear(beta[0], beta[1:], 0.0, beta[0], beta[1:], link="log", converged=bool(done))
+        eta = np.clip((z @ beta[:, :, None])[:, :, 0], -30, 30)
+        mu = np.exp(eta)
+    return beta, done
 
 
 def local_backtest(panel: DataFrame, spec: LagSpec, windows: Windows, family: str = "linear", alpha: float = 0.0,
                    name: str = "Local") -> DataFrame:
     """A separate linear or Poisson regression per series and window.
 
-    One series is one group, bounded by its days; series spread over the cluster.  Windows with a full test part but
-    too little history for the features get NULL predictions, as in the pooled form; Poisson adds ``converged``.
+    A series is one row of arrays, bounded by its days; the series of an Arrow batch are fitted side by side as stacked
+    matrices.  Price and counters are scaled as in the pooled form, by each series' own training rows.  Windows with
+    a full test part but too little history for the features get NULL predictions, as in the pooled form; Poisson adds
+    ``converged``.
     """
-    if spec.counters or spec.price:
-        raise ValueError("local models take lags, rolling statistics, calendar and exog columns")
-    h, t = windows.h, spec.tail
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(DS)
-        y = pdf[Y].to_numpy(dtype=float)
-        dates = pd.to_datetime(pdf[DS]).to_numpy()
-        cal = _calendar_block(dates, spec)
-        known = pdf[list(spec.known)].to_numpy(dtype=float)
-        x = _design(y, cal, known, spec)
-        n, out = len(y), []
+    h, tail = windows.h, spec.tail
+    df = panel
+    if spec.counters:
+        df = intervals.periods_since_last_zero(intervals.periods_since_last_sale(df, name="__a"), name="__b")
+    fields = {"y": q(Y), **{f"k{j}": q(c) for j, c in enumerate(spec.known)},
+              **({"a": F.col("__a"), "b": F.col("__b")} if spec.counters else {})}
+    cell = F.struct(F.col(DS).alias("ds"), *[v.cast("double").alias(c) for c, v in fields.items()])
+    whole = df.groupBy(ID).agg(F.sort_array(F.collect_list(cell)).alias("__days"))
+
+    def column(c: str) -> Column:
+        return F.transform("__days", lambda d: d[c]).alias(c)
+
+    flat = whole.select(ID, *map(column, ("ds", *fields)))
+
+    def fitted(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        n = pdf["ds"].map(len).to_numpy()
+        b, t = len(pdf), int(n.max())
+
+        def padded(c: str, fill, kind) -> np.ndarray:
+            out = np.full((b, t), fill, dtype=kind)
+            for i, v in enumerate(pdf[c]):
+                out[i, :len(v)] = np.asarray(v, dtype=kind)
+            return out
+
+        dates = padded("ds", np.datetime64("1970-01-01"), "datetime64[D]")
+        y = padded("y", np.nan, float)
+        cal = _calendar_block(dates.ravel(), spec).reshape(b, t, -1)
+        known = np.stack([padded(f"k{j}", np.nan, float) for j in range(len(spec.known))], axis=2) if spec.known else np.empty((b, t, 0))
+        since = np.stack([padded(c, np.nan, float) for c in "ab"], axis=2) if spec.counters else np.zeros((b, t, 2))
+        x = _stacked_design(y, cal, since, known, spec)
+        usable, place = np.isfinite(x).all(axis=2) & np.isfinite(y), np.arange(t)
         for i in range(windows.n_windows):
-            cut = n - h - i * windows.stride if windows.initial is None else windows.initial + i * windows.stride
-            if cut < 1 or cut + h > n:
+            cut = n - h - i * windows.stride if windows.initial is None else np.full(b, windows.initial + i * windows.stride)
+            at = np.flatnonzero((cut >= 1) & (cut + h <= n))
+            if not len(at):
                 continue
-            ok = ~np.isnan(x[:cut]).any(axis=1)
-            hat, done = np.full((1, h), np.nan), False
-            if cut >= t and ok.any():
-                m = _fit_one(x[:cut][ok], y[:cut][ok], family, alpha)
-                done = m.converged
-                hat = roll_forward(y[None, cut - t:cut], np.zeros((1, 2)), cal[None, cut:cut + h],
-                                   known[None, cut:cut + h], spec, m.predict)
-            out.append(pd.DataFrame({ID: pdf[ID].iloc[0], DS: pdf[DS].to_numpy()[cut:cut + h],
-                                     "cutoff": pdf[DS].to_numpy()[cut - 1], Y: y[cut:cut + h], name: hat[0],
-                                     "converged": done})[cols])
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=cols)
+            cut = cut[at]
+            rows = usable[at] & (place < cut[:, None])
+            hat, done = np.full((len(at), h), np.nan), np.zeros(len(at), bool)
+            good = np.flatnonzero(rows.any(axis=1) & (cut >= tail))
+            test = cut[:, None] + np.arange(h)
+            if len(good):
+                own, ends = at[good], cut[good]
+                scales = _Scales.of(x[own], rows[good], spec)
+                beta, done[good] = _stacked_fit(scales.apply(x[own]), y[own], rows[good], family, alpha)
+
+                def predict(rows_: np.ndarray, on: np.ndarray) -> np.ndarray:
+                    eta = beta[:, 0] + (scales.apply(rows_) * beta[:, 1:]).sum(axis=1)
+                    return np.exp(np.minimum(eta, 700.0)) if family == "poisson" else eta
+
+                side = own[:, None]
+                hat[good] = roll_forward(y[side, ends[:, None] - tail + np.arange(tail)], since[own, ends - 1], cal[side, test[good]],
+                                         known[side, test[good]], spec, predict)
+            ids = pdf[ID].to_numpy()[at]
+            yield pd.DataFrame({
+                ID: np.repeat(ids, h), DS: dates[at[:, None], test].ravel().astype(object),
+                "cutoff": np.repeat(dates[at, cut - 1].astype(object), h), Y: y[at[:, None], test].ravel(),
+                name: hat.ravel(), "converged": np.repeat(done, h)})[cols]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            size = len(spec.features()) + max([1, *spec.rolling])
+            longest = max(map(len, pdf["ds"]), default=1)
+            step = max(1, STACKED // (size * max(longest, 1)))
+            for a in range(0, len(pdf), step):
+                yield from fitted(pdf.iloc[a:a + step])
 
     cols = [ID, DS, "cutoff", Y, name, *(["converged"] if family == "poisson" else [])]
     kinds = f"{ID} string, {DS} date, cutoff date, {Y} double, `{name}` double"
-    rows = panel.select(ID, DS, q(Y).cast("double").alias(Y), *[q(c).cast("double").alias(c) for c in spec.known])
-    found = rows.groupBy(ID).applyInPandas(run, kinds + (", converged boolean" if family == "poisson" else ""))
+    found = flat.mapInPandas(run, kinds + (", converged boolean" if family == "poisson" else ""))
     return found.withColumn(name, F.when(~F.isnan(q(name)), q(name)))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 SEGMENT = 1 << 20        # characters of a text that are split at once
 LONG_PIECE = 64          # bytes; from here on a pre-token has a queue of its own
-PART = 1 << 24           # bytes of a batch whose pre-tokens share a queue
+PART = 12 << 20           # bytes of a batch whose pre-tokens share a queue
 REMEMBERED = 1 << 17     # pre-tokens a worker keeps from part to part
 FORGOTTEN_AFTER = 64     # parts, so that memory follows the texts
 END = (".", ",")

@@ -385,7 +385,7 @@ def main_text(page: str | None) -> str:
         kept = [x for i, x in enumerate(row) if first <= i <= last and (more[i] or x.tag in PROSE or x.tag in HEADINGS or not _is_menu(x))]
     texts = []
     for top in kept:
-        plain = top.tag not in ("article", "main") and not top.names & WANTED
+        plain = top.tag not in ("article", "main")
         lists = {id(e) for e in _walk(top) if e is not top and _is_menu(e)} if plain else frozenset()
         texts.extend(t for _, t in _blocks(top, lists))
     return " ".join(texts)
@@ -400,7 +400,7 @@ def _is_menu(e: Element) -> bool:
     if e.tag not in ("ul", "ol", "div", "table", "section", "dl", "nav") or _density(e) <= 0.9:
         return False
     links = [x.length for x in _walk(e) if x.tag == "a"]
-    return len(links) > 1 and sum(links) < 25 * len(links)
+    return len(links) > 1 and sum(links) < 20 * len(links)
 
 
 def extract_text(page: Column) -> Column:

@@ -9,8 +9,9 @@ a Newton step is a tree whose leaves are -sum(g)/sum(h) and whose splits gain G_
 a level of a tree needs are the sums of g and h per (model, node, column, bin).  Columns are binned once per frame of
 lags; rows are kept as blocks of bins, targets and scores of all models.  One job per step then sums gradients for the
 open nodes of every model, whatever trial, window or level it is at: tasks send their sums, these are added and searched
-for the best split by model, and the driver receives one line per open node.  The number of jobs is that of the model
-with the most levels to grow; more trials and windows make jobs larger, not more.
+for the best split by model, and the driver receives one line per open node.  Only the first ``GATHERED`` bytes of sums of
+a fit are added on the driver, which spares small fits an exchange.  The number of jobs is that of the model with the most
+levels to grow; more trials and windows make jobs larger, not more.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from demandgrid.session import cut_lineage
 BLOCK = 32_768         # rows of a block
 FOLD_EVERY = 8         # steps after which finished trees are added to the kept scores
 CUT_EVERY = 5          # foldings after which the lineage is cut
-GATHERED = 48 << 20    # bytes of sums of all tasks that the driver adds itself; more are added by model in tasks
+GATHERED = 48 << 20    # bytes of sums of all tasks that the driver adds itself over a whole fit; the rest is added by model in tasks
 LOG_SCHEMA = "model string, ensemble string"
 
 @dataclass
@@ -399,8 +400,8 @@ class _Trainer:
                 one = _blocks(i, f, self.columns[i], np.array(starts[i])).withColumn("place", F.spark_partition_id())
                 state = one if state is None else state.unionByName(one)
         # a share of every frame in each task, as frames whose models are finished drop out
-        tasks = max(1, self.spark.sparkContext.defaultParallelism)
-        state = state.repartitionById(tasks, "place").drop("place")
+        self.tasks, self.gathered = max(1, self.spark.sparkContext.defaultParallelism), 0
+        state = state.repartitionById(self.tasks, "place").drop("place")
         self.state, self.held, self.folds = state.persist(), [], 0
 
     def run(self, save) -> list[TweedieEnsemble]:
@@ -449,13 +450,13 @@ class _Trainer:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())], ["m", "v"])
 
         parts = self.state.where(F.col("frame").isin(list(jobs))).mapInArrow(lambda batches: _sums(batches, jobs, columns, windows), "m int, v binary")
-        tasks = max(1, self.spark.sparkContext.defaultParallelism)
-        size = tasks * sum(16 * n * max(1, sum(c.bins for c in columns[frame_of[m]])) + 16 for m, n in opened.items())
+        size = self.tasks * sum(16 * n * max(1, sum(c.bins for c in columns[frame_of[m]])) + 16 for m, n in opened.items())
         # added in the order of the tasks, so that a fit can be repeated
-        if size <= GATHERED:
+        if self.gathered + size <= GATHERED:
+            self.gathered += size
             found = searched(added(parts.toArrow().to_batches()))
         else:
-            dealt = parts.select("m", F.spark_partition_id().alias("task"), "v").repartition(min(len(active), tasks), "m")
+            dealt = parts.select("m", F.spark_partition_id().alias("task"), "v").repartition(min(len(active), self.tasks), "m")
             rows = dealt.sortWithinPartitions("m", "task").mapInArrow(search, "m int, v binary").collect()   # a line per open node
             found = {r["m"]: np.frombuffer(r["v"]) for r in rows}
         return {m: (v[:-2].reshape(-1, 7), v[-2] / v[-1]) for m, v in found.items()}

@@ -9,6 +9,7 @@ from demandgrid.operators import boosting
 from demandgrid.operators import regression as r
 from demandgrid.operators.backtest import Windows
 from demandgrid.operators.boosting import Setting
+from demandgrid.plans.training import train_and_evaluate
 
 WIN = Windows(7, 2)
 SPEC = r.LagSpec(lags=(1, 7), rolling=(7,), month=False)
@@ -50,3 +51,12 @@ def test_sums_of_a_fit_stay_in_one_budget(panel, sums, monkeypatch):
     for a, b in zip(whole, fitted):   # added in the same order either way
         assert len(a.trees) == len(b.trees) == 6 and a.losses == b.losses
         assert all(np.array_equal(getattr(x, n), getattr(y, n)) for x, y in zip(a.trees, b.trees) for n in ("feature", "threshold", "left", "right", "value"))
+
+
+def test_search_and_refit_take_a_budget_each(panel, sums, monkeypatch):
+    monkeypatch.setattr(boosting, "GATHERED", BUDGET)
+    options = {"TweedieGBT": {"lag_choices": ((1, 7),), "rolling_choices": ((7,),), "space": {"n_rounds": (8, 8), "depth": (3, 3), "rate": (0.2, 0.3)}}}
+    out = train_and_evaluate(panel, WIN, ["TweedieGBT"], SPEC, n_trials=2, search_options=options)
+    assert 0 < sum(sums) <= 2.2 * BUDGET   # the search's fit and the refit
+    assert out.trials["TweedieGBT"].count() == 2
+    assert {r["model"] for r in out.metrics.collect()} >= {"TweedieGBT"}
